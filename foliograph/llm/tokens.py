@@ -44,9 +44,6 @@ class WordEncoder:
     def _learn(self, missing: set[bytes]) -> None:
         """Encode new words. Letters followed by ASCII punctuation are two separate pre-tokens, so each part is looked
         up on its own; ASCII capitals are lower-cased by the vocabulary anyway."""
-        if len(self.cache) + len(self.cores) > self.cache_words:
-            self.cache.clear()
-            self.cores.clear()
         parts, wanted = {}, {}
         for word in missing:
             s = word.decode("utf-8", "replace")
@@ -65,6 +62,9 @@ class WordEncoder:
             self.cache[word] = b"".join([self.cores[p] for p in ps])
 
     def encode(self, text: bytes | None) -> bytes:
+        if len(self.cache) + len(self.cores) > self.cache_words:  # before the lookups: they need what is kept
+            self.cache.clear()
+            self.cores.clear()
         words = (text or b"").split()
         found = list(map(self.cache.get, words))
         if None in found:
