@@ -7,8 +7,11 @@ the texts.
 
 Points meet in cells. In one fixed order of all shingles, two sets over the threshold share a shingle among the first
 ``n - ceil(t * n) + 1`` of each, so every set enters the cells of those. The order puts shingles that are frequent in a
-sample last: it decides how large cells get, not which pairs are found. Equal sets are one point. Where many similar sets
-meet, neighbours by size are verified first, and only points that are not yet connected are compared.
+sample last: it decides how large cells get, not which pairs are found. Equal sets are one point.
+
+So that a group of n similar texts does not cost n * n pairs, a first round only compares each set with the few that stand
+next to it when sets are sorted by their least hashes. Whatever that connects is compared no more; the cells then give all
+pairs of sets that are not yet connected, so no link between classes is lost.
 """
 
 from __future__ import annotations
@@ -25,7 +28,11 @@ from .links import components as connected
 
 WORDS, PERCENT = 4, 85
 #: Groups that shingles are hashed into: the dimensions of a point.
-GROUPS = 64
+GROUPS = 256
+#: A point as stored: a byte for each group, then the scale of the bytes as a 4-byte integer.
+POINT_BYTES = GROUPS + 4
+#: First round: groups whose least hashes are looked at, those that neighbours have in common, and neighbours compared.
+LEAST, COMMON, NEIGHBOURS = 64, 4, 4
 #: Points in a leaf of the R-tree, and leaves or nodes under a node.
 LEAF, FAN_OUT = 32, 8
 #: Documents sampled for the order of shingles, and sampled documents from which a shingle counts as frequent.
@@ -36,8 +43,45 @@ def shingles(text: bytes | None) -> np.ndarray:
     return shingle_hashes((text or b"").lower(), WORDS)
 
 
-def point(hashes: np.ndarray) -> np.ndarray:
-    return np.bincount((hashes >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype("<i4")
+def point(hashes: np.ndarray) -> bytes:
+    """Counts of a set's shingles by group. Counts over 255 are stored in larger units, rounded up, so that sums of minima
+    stay upper bounds."""
+    counts = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    scale = max(1, -(-int(counts.max(initial=0)) // 255))
+    return (-(-counts // scale)).astype(np.uint8).tobytes() + scale.to_bytes(4, "little")
+
+
+def counts_of(points: list[bytes]) -> np.ndarray:
+    """Stored points as one array of counts, in bytes if no point is scaled."""
+    raw = np.frombuffer(b"".join(points), np.uint8).reshape(-1, POINT_BYTES)
+    scale = np.ascontiguousarray(raw[:, GROUPS:]).view("<i4")[:, 0]
+    return raw[:, :GROUPS] if (scale == 1).all() else raw[:, :GROUPS].astype(np.int32) * scale[:, None]
+
+
+def overlap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlaps of pairs of points: summed coordinate minima."""
+    return np.minimum(p, q).sum(1, dtype=np.int64)
+
+
+_EDGES = np.arange(LEAST, dtype=np.uint64) << np.uint64(64 - LEAST.bit_length() + 1)
+
+
+def neighbourhoods(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every fourth group: a hash of its least hash and those of the next ``COMMON - 1`` groups (sets that share it are
+    neighbours), and the two least hashes after them, by which neighbours are sorted."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    at = np.searchsorted(hashes, _EDGES)
+    least = hashes[np.minimum(at, len(hashes) - 1)]
+    least = np.where((at < len(hashes)) & (least - _EDGES < _EDGES[1]), least, np.uint64(0))
+    starts = np.arange(0, LEAST, COMMON)
+    key, some = starts.astype(np.uint64), np.zeros(len(starts), bool)
+    for k in range(COMMON):
+        own = least[(starts + k) % LEAST]
+        key, some = mix64(key + own), some | (own > 0)
+    after = mix64(least) >> np.uint64(32)
+    rest = (after[(starts + COMMON) % LEAST] << np.uint64(32)) | after[(starts + COMMON + 1) % LEAST]
+    return key[some], rest[some]
 
 
 def prefix(hashes: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -99,7 +143,7 @@ class CountRTree:
             stays = np.zeros(len(q), bool)
             for at in range(0, len(q), 1 << 14):
                 s = slice(at, at + (1 << 14))
-                stays[s] = may_link(sizes[q[s]], np.maximum(low[node[s]], 0), np.minimum(points[q[s]], corner[node[s]]).sum(1), percent)
+                stays[s] = may_link(sizes[q[s]], np.maximum(low[node[s]], 0), overlap(points[q[s]], corner[node[s]]), percent)
             q, node = q[stays], node[stays]
             if depth < 0:
                 break
@@ -132,9 +176,11 @@ def cell_pairs(cell: np.ndarray, size: np.ndarray, point_: np.ndarray, group: np
         j = i + step
         own = (group[i] != group[j]) & (j >= fresh)
         a, b = i[own], j[own]
-        fine = may_link(size[a], size[b], np.minimum(point_[a], point_[b]).sum(1), percent)
-        left.append(a[fine])
-        right.append(b[fine])
+        for k in range(0, len(a), 1 << 14):
+            x, y = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
+            fine = may_link(size[x], size[y], overlap(point_[x], point_[y]), percent)
+            left.append(x[fine])
+            right.append(y[fine])
     for at, n in zip(first[count > LEAF], count[count > LEAF]):
         s = slice(at, at + n)
         tree = CountRTree(size[s], point_[s])
@@ -166,7 +212,7 @@ def _join_cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
     held, fresh = None, 0
     for batch in batches:
         new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-        new.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), "<i4").reshape(-1, GROUPS))
+        new.append(counts_of(batch.column(4).to_pylist()))
         held = new if held is None else [np.concatenate([x, y]) for x, y in zip(held, new)]
         if not len(held[0]):
             continue
@@ -198,21 +244,22 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 
 def profile(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, h1, h2, point, tokens) of every row: size and digest of the set, its point and its first shingles."""
+    """(doc_id, n, h1, h2, point, tokens, beside, rest) of every row: size and digest of the set, its point, its first
+    shingles and its neighbourhoods."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def describe(texts):
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[] for _ in range(7)]
         for t in texts:
             h = shingles(t)
             with np.errstate(over="ignore"):
                 h1, h2 = int(h.sum(dtype=np.uint64)), int(mix64(h ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
-            row = (len(h), h1 - (h1 >> 63 << 64), h2 - (h2 >> 63 << 64), point(h).tobytes(), signed(np.sort(prefix(h, shared.value, percent))))
+            row = (len(h), h1 - (h1 >> 63 << 64), h2 - (h2 >> 63 << 64), point(h), signed(np.sort(prefix(h, shared.value, percent))), *map(signed, neighbourhoods(h)))
             for c, v in zip(out, row):
                 c.append(v)
         return out
 
-    return extend(docs.select(F.col("doc_id").cast("long"), "text"), ["text"], describe, "n long, h1 long, h2 long, point binary, tokens array<long>", keep=["doc_id"], most=128)
+    return extend(docs.select(F.col("doc_id").cast("long"), "text"), ["text"], describe, "n long, h1 long, h2 long, point binary, tokens array<long>, beside array<long>, rest array<long>", keep=["doc_id"], most=128)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int, folder: str, name: str) -> DataFrame:
@@ -240,8 +287,7 @@ def _within_bound(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     both = pairs.join(side("a", 0), "a").join(side("b", 1), "b").select("a", "b", "n0", "n1", "p0", "p1")
 
     def bound(cols):
-        p, q = (np.frombuffer(b"".join(c), "<i4").reshape(-1, GROUPS) for c in cols[4:])
-        fine = may_link(np.array(cols[2]), np.array(cols[3]), np.minimum(p, q).sum(1), percent)
+        fine = may_link(np.array(cols[2]), np.array(cols[3]), overlap(counts_of(cols[4]), counts_of(cols[5])), percent)
         return [np.array(c, np.int64)[fine] for c in cols[:2]]
 
     return arrow_map(both, bound, "a long, b long", most=4096).distinct()
@@ -257,23 +303,26 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark, folder = docs.sparkSession, work_dir(docs.sparkSession)
     profiles = stored(profile(docs, _frequent(docs), percent), "profiles", folder)
     own = profiles.where("doc_id IS NOT NULL AND n > 0")
-    nodes = own.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n", "point", "tokens")).alias("x"))
-    nodes = stored(nodes.select("h1", "h2", F.col("x.doc_id").alias("node"), "x.n", "x.point", "x.tokens"), "nodes", folder)
-
-    by_size = Window.partitionBy("token").orderBy("n", "node")
-    met = nodes.select(F.explode("tokens").alias("token"), "n", "node").withColumns({"prev": F.lag("node").over(by_size), "n_prev": F.lag("n").over(by_size), "n_next": F.lead("n").over(by_size)})
-    near_prev, near_next = F.coalesce(100 * F.col("n_prev") >= percent * F.col("n"), F.lit(False)), F.coalesce(100 * F.col("n") >= percent * F.col("n_next"), F.lit(False))
-    cells = stored(met.where(near_prev | near_next).select("token", "n", "node", F.when(near_prev, F.col("prev")).alias("prev")), "cells", folder)
-
-    crowded = cells.groupBy("token").count().where(F.col("count") > LEAF).select("token")
-    chain = cells.where("prev IS NOT NULL AND prev <> node").join(crowded, "token", "left_semi").select(F.least("prev", "node").alias("a"), F.greatest("prev", "node").alias("b")).distinct()
-    tried = stored(_within_bound(chain, nodes, percent), "chain", folder)
+    nodes = own.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n", "point", "tokens", "beside", "rest")).alias("x"))
+    nodes = stored(nodes.select("h1", "h2", F.col("x.doc_id").alias("node"), "x.n", "x.point", "x.tokens", "x.beside", "x.rest"), "nodes", folder)
+
+    around = nodes.select("n", "node", F.explode(F.arrays_zip("beside", "rest")).alias("x")).select("n", "node", "x.beside", "x.rest")
+    order = Window.partitionBy("beside").orderBy("rest", "node")
+    next_ones = F.array(*(F.struct(F.lead("node", k).over(order).alias("node"), F.lead("n", k).over(order).alias("n")) for k in range(1, NEIGHBOURS + 1)))
+    beside = around.select("n", "node", next_ones.alias("x")).where("x[0].node IS NOT NULL").select("n", "node", F.explode("x").alias("y")).where("y.node IS NOT NULL AND y.node <> node")
+    beside = beside.where(100 * F.least("n", "y.n") >= percent * F.greatest("n", "y.n")).select(F.least("node", "y.node").alias("a"), F.greatest("node", "y.node").alias("b")).distinct()
+    tried = stored(_within_bound(beside, nodes, percent), "beside", folder)
     links, groups = None, None
     if tried.take(1):
-        links = _verified(tried, docs, percent, folder, "chain")
+        links = _verified(tried, docs, percent, folder, "beside")
         groups = stored(connected(links), "groups", folder)
 
-    rows = cells.select("token", "n", "node").join(nodes.select("node", "n", "point"), ["node", "n"])
+    by_size = Window.partitionBy("token").orderBy("n", "node")
+    met = nodes.select(F.explode("tokens").alias("token"), "n", "node").withColumns({"n_prev": F.lag("n").over(by_size), "n_next": F.lead("n").over(by_size)})
+    near_prev, near_next = F.coalesce(100 * F.col("n_prev") >= percent * F.col("n"), F.lit(False)), F.coalesce(100 * F.col("n") >= percent * F.col("n_next"), F.lit(False))
+    cells = stored(met.where(near_prev | near_next).select("token", "n", "node"), "cells", folder)
+
+    rows = cells.join(nodes.select("node", "n", "point"), ["node", "n"])
     if groups is None:
         rows = rows.withColumn("component", F.col("node"))
     else:
@@ -281,10 +330,10 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         mixed = cells.join(groups, "node", "left").groupBy("token").agg(F.min(F.coalesce("component", "node")).alias("low"), F.max(F.coalesce("component", "node")).alias("high")).where("low <> high").select("token")
         rows = rows.join(mixed, "token", "left_semi")
     dealt = rows.select("token", "n", "node", "component", "point").repartition("token").sortWithinPartitions("token", "n", "node")
-    pairs = dealt.mapInArrow(lambda batches: _join_cells(batches, percent), "a long, b long").distinct()
+    pairs = stored(dealt.mapInArrow(lambda batches: _join_cells(batches, percent), "a long, b long").distinct(), "pairs", folder)
     if links is not None:
         pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    more = _verified(stored(pairs, "pairs", folder), docs, percent, folder, "pairs")
+    more = _verified(pairs, docs, percent, folder, "pairs")
     links = more if links is None else links.unionByName(more)
 
     sets = nodes.select("h1", "h2", "node")
