@@ -7,6 +7,7 @@ put together. Each distinct word is encoded once by the ``tokenizers`` library a
 from __future__ import annotations
 
 import os
+from struct import pack
 
 import numpy as np
 
@@ -39,7 +40,8 @@ class WordEncoder:
         self.cache_words = cache_words
 
     def _library(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        return [pack(f"<{len(ids)}{code}", *ids) for ids in (e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))]
 
     def _learn(self, missing: set[bytes]) -> None:
         """Encode new words. Letters followed by ASCII punctuation are two separate pre-tokens, so each part is looked
@@ -67,9 +69,11 @@ class WordEncoder:
             self.cores.clear()
         words = (text or b"").split()
         found = list(map(self.cache.get, words))
-        if None in found:
-            self._learn({w for w, f in zip(words, found) if f is None})
-            found = list(map(self.cache.__getitem__, words))
+        new = [k for k, f in enumerate(found) if f is None]
+        if new:
+            self._learn({words[k] for k in new})
+            for k in new:
+                found[k] = self.cache[words[k]]
         return b"".join(found)
 
     def document(self, text: bytes | None, end_id: int = END_ID) -> np.ndarray:
