@@ -6,6 +6,7 @@ put together. Each distinct word is encoded once by the ``tokenizers`` library a
 
 from __future__ import annotations
 
+import json
 import os
 from struct import pack
 
@@ -13,8 +14,8 @@ import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-#: Words kept by one worker process before it starts over (a bound on memory, not on results).
-CACHE_WORDS = 1_200_000
+#: Words kept by one worker process at most, and distinct punctuation tails (bounds on memory, not on results).
+CACHE_WORDS, MAX_TAILS = 1_200_000, 10_000
 _TAIL = ",.!*#%&$;:?)"
 
 _encoders: dict[str, "WordEncoder"] = {}
@@ -26,51 +27,77 @@ def default_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def _plain_words(description: dict) -> dict | None:
+    """The same vocabulary for words of lower-case letters alone, or None if its normaliser and splitter are not those
+    known to leave such words whole and unchanged (fixed values of the public file)."""
+    steps = [n["type"] for n in (description.get("normalizer") or {}).get("normalizers", [])]
+    parts = (description.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    if steps != ["NFC", "Replace", "Lowercase"] or [x.get("type") for x in parts] != ["Split", "ByteLevel"] or r"|[\p{L}]+|" not in parts[0]["pattern"].get("Regex", ""):
+        return None
+    return description | {"normalizer": None, "pre_tokenizer": parts[1]}
+
+
 class WordEncoder:
-    """``encode(text)`` gives the ids of a UTF-8 text as packed little-endian integers, without special tokens."""
+    """``encode(text)`` gives the ids of a UTF-8 text as packed little-endian integers, without special tokens.
+
+    Words are kept in two generations of half of ``cache_words`` each: when the newer is full the older is dropped, so
+    words in use stay known.
+    """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            plain = _plain_words(json.load(f))
+        self.plain = Tokenizer.from_str(json.dumps(plain)) if plain else None
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.cache: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
         self.cache_words = cache_words
 
-    def _library(self, words: list[str]) -> list[bytes]:
-        code = "H" if self.dtype.itemsize == 2 else "I"
-        return [pack(f"<{len(ids)}{code}", *ids) for ids in (e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))]
+    def _library(self, tokenizer, words: list[str]) -> list[bytes]:
+        return [pack(f"<{len(ids)}{self.code}", *ids) for ids in (e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False))]
 
     def _learn(self, missing: set[bytes]) -> None:
-        """Encode new words. Letters followed by ASCII punctuation are two separate pre-tokens, so each part is looked
-        up on its own; ASCII capitals are lower-cased by the vocabulary anyway."""
-        parts, wanted = {}, {}
+        """Add words to the newer generation. Letters followed by ASCII punctuation are two separate pre-tokens, so Latin-1
+        letters are encoded without normaliser and splitter, lower-cased, and their tail is looked up on its own."""
+        words, heads, tails, others = [], [], [], []
         for word in missing:
+            known = self.older.get(word)
+            if known is not None:
+                self.cache[word] = known
+                continue
             s = word.decode("utf-8", "replace")
             core = s.rstrip(_TAIL)
-            if core.isalpha():
-                parts[word] = [core.lower() if core.isascii() else core, s[len(core) :]]
+            if self.plain and core.isalpha() and (core.isascii() or max(core) < "\u0100"):
+                words.append(word)
+                heads.append(core.lower())
+                tails.append(s[len(core) :])
             else:
-                parts[word] = [s]
-            for p in parts[word]:
-                if p and p not in self.cores:
-                    wanted[p] = None
-        new = list(wanted)
-        self.cores.update(zip(new, self._library(new)))
-        self.cores[""] = b""
-        for word, ps in parts.items():
-            self.cache[word] = b"".join([self.cores[p] for p in ps])
+                others.append(word)
+        if others:
+            self.cache.update(zip(others, self._library(self.tokenizer, [w.decode("utf-8", "replace") for w in others])))
+        if words:
+            if len(self.tails) > MAX_TAILS:
+                self.tails = {"": b""}
+            for tail in {t for t in tails if t not in self.tails}:
+                self.tails[tail] = self._library(self.tokenizer, [tail])[0]
+            distinct = list(dict.fromkeys(heads))
+            packed = dict(zip(distinct, self._library(self.plain, distinct)))
+            for word, head, tail in zip(words, heads, tails):
+                self.cache[word] = packed[head] + self.tails[tail]
 
     def encode(self, text: bytes | None) -> bytes:
-        if len(self.cache) + len(self.cores) > self.cache_words:  # before the lookups: they need what is kept
-            self.cache.clear()
-            self.cores.clear()
+        if 2 * len(self.cache) > self.cache_words:  # before the lookups: they need what is kept
+            self.older, self.cache = self.cache, {}
         words = (text or b"").split()
         found = list(map(self.cache.get, words))
-        new = [k for k, f in enumerate(found) if f is None]
-        if new:
+        if None in found:
+            new = [k for k, f in enumerate(found) if f is None]
             self._learn({words[k] for k in new})
             for k in new:
                 found[k] = self.cache[words[k]]
