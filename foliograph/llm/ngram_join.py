@@ -354,7 +354,8 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     heads = stored(classes(docs, percent).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__n")), "heads")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    named = docs.join(heads, "doc_id")
+    # Heads grow with the documents, so they are never broadcast: the plan is the same at every size.
+    named = docs.join(heads.hint("merge"), "doc_id")
     once = named.where("__n = 1").select(*columns)
     again = named.where("__n > 1").groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("__row")).select("__row.*")
     return once.unionByName(again).unionByName(docs.where("doc_id IS NULL").select(*columns))
