@@ -1,7 +1,7 @@
 """URL filter: host and path rules first, then a character language-model ratio.
 
 Two smoothed variable-order Markov models, one of accepted and one of rejected URLs, give every URL a length-normalised
-log-likelihood difference; a calibration turns it into the probability of rejection.
+log-likelihood difference from exact counts, looked up by key; a calibration turns it into the probability of rejection.
 """
 
 from __future__ import annotations
@@ -13,15 +13,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import class_weights, extend, platt
+from .common import class_weights, platt, stored
 
 #: (host and path prefix, verdict) in order.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 #: Hosts holding one of these words count as rejected when learning (a parameter; rules come first). A URL that neither a
 #: rule nor a word decides counts as accepted: most of the web is, and one that is not stands out all the same.
 SEEDS = ("adult", "bets", "casino", "ads-", "pills", "porn", "spam", "viagra", "xxx")
-#: Longest context of the Markov models, buckets of every order's tables, and weight of the shorter context.
-ORDER, BUCKETS, BACK_OFF = 4, 1 << 15, 2.0
+#: Longest context of the Markov models and weight of the shorter context.
+ORDER, BACK_OFF = 4, 2.0
+#: Rows (a power of two) that look up their grams together, and grams a task adds up before it passes them on.
+BLOCK_BITS, HELD_GRAMS = 14, 1 << 20
 BLOCK_AT = 0.5
 #: URLs of each class that calibrate (the documented bound); they are not counted in the models.
 CALIBRATION = 2000
@@ -46,41 +48,96 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _grams(url: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of (context, character) and of the context, for every order and place: two (ORDER + 1, length) arrays."""
-    c = np.frombuffer(b"\x02" * ORDER + url + b"\x03", np.uint8).astype(np.uint32) + np.uint32(1)
-    n = len(c) - ORDER
-    pair, ctx = np.empty((ORDER + 1, n), np.int64), np.empty((ORDER + 1, n), np.int64)
-    h = np.zeros(n, np.uint32)
+def _grams(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The grams (``ORDER`` bytes of context and the next byte, packed into 40 bits) of all places, and how many each URL has."""
+    sizes = np.array([len(u) + 1 for u in urls], np.int64)
+    c = np.frombuffer(b"".join(b"\x02" * ORDER + u + b"\x03" for u in urls), np.uint8).astype(np.int64)
+    g = np.zeros(max(0, len(c) - ORDER), np.int64)
     for k in range(ORDER + 1):
-        if k:
-            h = h * np.uint32(0x01000193) + c[ORDER - k : ORDER - k + n]
-        salted = h + np.uint32(0x9E3779B1 * k & 0xFFFFFFFF)
-        ctx[k] = salted * np.uint32(2654435761) >> np.uint32(17)
-        pair[k] = (salted * np.uint32(65599) + c[ORDER:]) * np.uint32(2246822519) >> np.uint32(17)
-    return pair, ctx
+        g = g << 8 | c[k : k + len(g)]
+    return g[np.arange(sizes.sum()) + np.repeat(ORDER * np.arange(len(urls)), sizes)], sizes
+
+
+def _sums(keys: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """(2, wanted): the sums of both classes' counts ``n`` over the rows that have the wanted key."""
+    if not len(keys):
+        return np.zeros((2, len(wanted)))
+    own, place = np.unique(keys, return_inverse=True)
+    total = np.array([np.bincount(place, x, len(own)) for x in n])
+    at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
+    return np.where(own[at] == wanted, total[:, at], 0)
+
+
+def _log_ratios(grams: np.ndarray, n: np.ndarray, low: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """log P(rejected) - log P(accepted) of the last byte of every wanted gram after its context.
+
+    ``grams`` and ``n`` are all counts that share the last two bytes of context of a wanted one, ``low`` the counts of both
+    classes by last byte of context and next byte.
+    """
+    last, x = wanted >> 8 & 255, wanted & 255
+    p = (low.sum(1)[:, x] + BACK_OFF / 256) / (low.sum((1, 2))[:, None] + BACK_OFF)
+    p = (low[:, last, x] + BACK_OFF * p) / (low.sum(2)[:, last] + BACK_OFF)
+    for k in range(2, ORDER + 1):
+        mask = (1 << 8 * (k + 1)) - 1
+        p = (_sums(grams & mask, n, wanted & mask) + BACK_OFF * p) / (_sums((grams & mask) >> 8, n, (wanted & mask) >> 8) + BACK_OFF)
+    return np.log(p[1]) - np.log(p[0])
 
 
 @dataclass(frozen=True)
 class UrlModel:
-    pairs: np.ndarray  # (2, ORDER + 1, BUCKETS): counts of accepted and rejected URLs
-    contexts: np.ndarray
+    counts: DataFrame  # gram, n0, n1: exact counts of accepted and rejected URLs, a table that grows with the input
+    low: np.ndarray  # (2, 256, 256): the same by last byte of context and next byte
     slope: float = 1.0
     shift: float = 0.0
 
-    def difference(self, url: bytes) -> float:
-        """Mean over the characters of log P(rejected) - log P(accepted)."""
-        pair, ctx = _grams(url)
-        p = np.full((2, pair.shape[1]), 1 / 256)
-        for k in range(ORDER + 1):
-            p = (self.pairs[:, k, pair[k]] + BACK_OFF * p) / (self.contexts[:, k, ctx[k]] + BACK_OFF)
-        return float((np.log(p[1]) - np.log(p[0])).mean())
 
-    def probability(self, url: bytes) -> float:
-        """Of rejection. A URL without host and path says nothing for itself and is rejected."""
-        if not url:
-            return 1.0
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.difference(url) + self.shift, -30, 30))))
+def _differences(urls: DataFrame, model: UrlModel) -> DataFrame:
+    """(rid, difference): mean over the places of a URL ``u`` of log P(rejected) - log P(accepted).
+
+    A place's share depends on its gram alone. So every block of rows asks once for each of its grams, the counts answer
+    by key, and the block adds up the answers. ``urls`` (rid, u) has to give the same rows whenever it is read.
+    """
+    low, spark = model.low, urls.sparkSession
+    urls = urls.select("rid", F.shiftright("rid", BLOCK_BITS).alias("block"), "u")
+
+    def ask(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            blocks = batch.column(0).to_numpy()
+            for block in np.unique(blocks).tolist():
+                own = _grams(batch.column(1).filter(pa.array(blocks == block)).to_pylist())[0]
+                if block not in held and held:
+                    yield from flush(held)
+                    held = {}
+                held[block] = np.union1d(held.get(block, own[:0]), own)
+        yield from flush(held)
+
+    def flush(held):
+        for block, grams in held.items():
+            for at in range(0, len(grams), 50_000):
+                g = grams[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), block, np.int64)), pa.array(g)], names=["block", "gram"])
+
+    def answer(counts: pa.Table, asked: pa.Table) -> pa.Table:
+        g, n = counts["gram"].to_numpy(), np.array([counts["n0"].to_numpy(), counts["n1"].to_numpy()], np.float64)
+        wanted = asked["gram"].to_numpy()
+        return pa.table({"gram": pa.array(wanted), "value": pa.array(_log_ratios(g, n, shared.value, wanted), pa.float64())})
+
+    def add_up(rows: pa.Table, values: pa.Table) -> pa.Table:
+        g, sizes = _grams(rows["u"].to_pylist())
+        if not len(sizes):
+            return pa.table({"rid": pa.array([], pa.int64()), "difference": pa.array([], pa.float64())})
+        order = np.argsort(values["gram"].to_numpy())
+        known, value = values["gram"].to_numpy()[order], values["value"].to_numpy()[order]
+        total = np.add.reduceat(value[np.searchsorted(known, g)], np.cumsum(sizes) - sizes)
+        return pa.table({"rid": rows["rid"].combine_chunks(), "difference": pa.array(total / sizes)})
+
+    shared = spark.sparkContext.broadcast(low)  # 2 * 256 * 256 doubles
+    asked = stored(urls.select("block", "u").mapInArrow(ask, "block long, gram long"), "asked")
+    pair = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
+    values = model.counts.groupBy(pair.alias("pair")).cogroup(asked.select("gram").distinct().groupBy(pair.alias("pair"))).applyInArrow(answer, "gram long, value double")
+    answered = asked.join(values.hint("merge"), "gram")
+    return urls.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(add_up, "rid long, difference double")
 
 
 def _parts(pages: DataFrame, rules, seeds) -> DataFrame:
@@ -94,37 +151,46 @@ def _parts(pages: DataFrame, rules, seeds) -> DataFrame:
 
 
 def fit(pages: DataFrame, rules=RULES, seeds=SEEDS) -> UrlModel:
-    """Count all URLs with a host, as accepted or rejected, but for a fifth (by crc32) kept for the calibration.
+    """Count the grams of all URLs with a host, as accepted or rejected, but for the rows that calibrate.
 
-    Tasks add up their own counts, so the shuffle and the driver get at most 2 classes x 5 orders x 2 tables of ``BUCKETS``.
+    Those are at most ``CALIBRATION`` of each class, from a fifth by crc32. Tasks add up their own counts before the
+    shuffle; the driver gets the counts of two bytes only.
     """
     known = _parts(pages.select("url"), rules, seeds).where(F.col("__class").isNotNull()).select(F.concat("host", "path").cast("binary").alias("u"), F.col("__class").cast("int").alias("k"))
-    fold = F.crc32("u") % 5
+    held = known.where(F.crc32("u") % 5 == 0)
+    sample = [(bytes(r["u"]), r["k"]) for k in (0, 1) for r in held.where(F.col("k") == k).orderBy(F.xxhash64("u"), "u").limit(CALIBRATION).collect()]
+
+    def flush(keys, n):
+        for at in range(0, len(keys), 50_000):
+            g, k, m = keys[at : at + 50_000] >> 1, keys[at : at + 50_000] & 1, n[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.where(k == 0, m, 0)), pa.array(np.where(k == 1, m, 0))], names=["gram", "n0", "n1"])
 
-    def add_up(batches):
-        total = np.zeros((2, 2, ORDER + 1, BUCKETS), np.int64)
+    def count(batches, sign=1):
+        keys = n = np.zeros(0, np.int64)
         for batch in batches:
-            for url, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                pair, ctx = _grams(url)
-                for order in range(ORDER + 1):
-                    np.add.at(total[0, k, order], pair[order], 1)
-                    np.add.at(total[1, k, order], ctx[order], 1)
-        flat = total.reshape(-1)
-        at = np.flatnonzero(flat)
-        for s in range(0, len(at), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[s : s + 10_000], pa.int64()), pa.array(flat[at[s : s + 10_000]], pa.int64())], names=["bucket", "n"])
-
-    rows = known.where(fold != 0).mapInArrow(add_up, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    flat = np.zeros(4 * (ORDER + 1) * BUCKETS)
-    flat[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy()
-    tables = flat.reshape(2, 2, ORDER + 1, BUCKETS)
-    model = UrlModel(tables[0], tables[1])
-    held = known.where(fold == 0)
-    sample = [r for k in (0, 1) for r in held.where(F.col("k") == k).orderBy(F.xxhash64("u"), "u").limit(CALIBRATION).collect()]
-    z, y = np.array([model.difference(bytes(r["u"])) for r in sample]), np.array([r["k"] for r in sample], np.float64)
+            grams, sizes = _grams(batch.column(0).to_pylist())
+            new, times = np.unique(grams << 1 | np.repeat(batch.column(1).to_numpy().astype(np.int64), sizes), return_counts=True)
+            both, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            keys, n = both, np.bincount(place, np.concatenate([n, sign * times]), len(both)).astype(np.int64)
+            if len(keys) > HELD_GRAMS:
+                yield from flush(keys, n)
+                keys = n = np.zeros(0, np.int64)
+        yield from flush(keys, n)
+
+    spark, columns = pages.sparkSession, "gram long, n0 long, n1 long"
+    rows = spark.createDataFrame(sample, "u binary, k int")
+    grams = known.mapInArrow(count, columns).unionByName(rows.mapInArrow(lambda batches: count(batches, -1), columns))
+    counts = stored(grams.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 > 0 OR n1 > 0"), "counts")
+    low = np.zeros((2, 256 * 256))
+    two = counts.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("two")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
+    low[:, two["two"].to_numpy(np.int64)] = two["n0"], two["n1"]
+    model = UrlModel(counts, low.reshape(2, 256, 256))
+    if not sample:
+        return model
+    found = dict(_differences(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(sample)], "rid long, u binary"), model).collect())
+    z, y = np.array([found[i] for i in range(len(sample))]), np.array([k for _, k in sample], np.float64)
     shares = {r["k"]: r["count"] for r in held.groupBy("k").count().collect()}
-    slope, shift = platt(z, y, class_weights(y, shares))
-    return UrlModel(tables[0], tables[1], slope, shift)
+    return UrlModel(counts, model.low, *platt(z, y, class_weights(y, shares)))
 
 
 def apply(pages: DataFrame, model: UrlModel, rules=RULES, keep: list[str] | None = None, block_at: float = BLOCK_AT) -> DataFrame:
@@ -132,10 +198,17 @@ def apply(pages: DataFrame, model: UrlModel, rules=RULES, keep: list[str] | None
 
     A null url or one without ``://`` has empty host and path and no rule, and the method blocks it. Rows are judged one
     by one: null ids, ties, repeated rows, long urls and further columns pass through; columns with the names of new ones
-    are replaced.
+    are replaced. The rows are written once, numbered, so that their scores can be joined to them.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(model)  # fixed tables of 4 * 5 * BUCKETS doubles
-    parts = _parts(pages, rules, ()).drop("__class").withColumn("__u", F.concat("host", "path"))
-    names = None if keep is None else [*keep, "host", "path", "rule", "__said"]
-    scored = extend(parts, ["__u"], lambda urls: [[shared.value.probability(u) for u in urls]], "reject_probability double", keep=names)
-    return scored.withColumn("verdict", F.coalesce("__said", F.when(F.col("reject_probability") >= block_at, "block").otherwise("allow"))).drop("__said", "__u")
+    parts = _parts(pages, rules, ()).drop("__class", "reject_probability", "verdict")
+    if keep is not None:
+        parts = parts.select(*[F.col(f"`{c}`") for c in parts.columns if c in {*keep, "host", "path", "rule", "__said"}])
+    parts = stored(parts.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
+    u = F.concat("host", "path")
+    urls = parts.where(u != "").select(F.col("__rid").alias("rid"), u.cast("binary").alias("u"))
+    z = F.lit(model.slope) * F.col("difference") + F.lit(model.shift)
+    z = F.when(z > 30, 30.0).when(z < -30, -30.0).otherwise(z)
+    scored = parts.join(_differences(urls, model).withColumnRenamed("rid", "__rid").hint("merge"), "__rid", "left")
+    # A URL without host and path says nothing for itself and is rejected.
+    scored = scored.withColumn("reject_probability", F.coalesce(1 / (1 + F.exp(-z)), F.lit(1.0)))
+    return scored.withColumn("verdict", F.coalesce("__said", F.when(F.col("reject_probability") >= block_at, "block").otherwise("allow"))).drop("__said", "__rid", "difference")

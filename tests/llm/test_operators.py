@@ -230,6 +230,46 @@ def test_url_filter(spark):
     assert got[1003]["rule"] == "com/de/" and got[1004]["rule"] is None and got[1005]["rule"] == "example.org/en/1" and got[1006]["rule"] is None
 
 
+def test_url_counts_are_exact(spark):
+    r = random.Random(11)
+    name = lambda k: "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=k))
+    rows = [(k, f"http://{'casino' if k % 3 == 0 else ''}{name(20)}.net/{name(30)}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    model = url_filter.fit(df)
+    urls = [(k % 3 == 0, u[7:].encode()) for k, u in rows]
+    held = [sorted((u for c, u in urls if c == k and zlib.crc32(u) % 5 == 0)) for k in (0, 1)]
+    assert all(len(h) <= url_filter.CALIBRATION for h in held)
+    n = {}
+    for c, u in urls:
+        t = b"\2\2\2\2" + u + b"\3"
+        for at in range(4, len(t) if zlib.crc32(u) % 5 else 0):
+            for k in range(5):
+                for key in ((t[at - k : at], t[at]), (t[at - k : at], None)):
+                    n.setdefault(key, [0, 0])[c] += 1
+    assert sum(len(k[0]) == 4 and k[1] is not None for k in n) > 1 << 15
+
+    def difference(u):
+        t, total = b"\2\2\2\2" + u + b"\3", 0.0
+        for at in range(4, len(t)):
+            p = [1 / 256, 1 / 256]
+            for k in range(5):
+                pair, context = n.get((t[at - k : at], t[at]), (0, 0)), n.get((t[at - k : at], None), (0, 0))
+                p = [(pair[c] + 2 * p[c]) / (context[c] + 2) for c in (0, 1)]
+            total += np.log(p[1]) - np.log(p[0])
+        return total / (len(t) - 4)
+
+    got = {x["page_id"]: x["reject_probability"] for x in url_filter.apply(df, model).collect()}
+    want = [1 / (1 + np.exp(-np.clip(model.slope * difference(u) + model.shift, -30, 30))) for _, u in urls]
+    assert len(got) == 3000 and np.allclose([got[k] for k in range(3000)], want)
+
+
+def test_url_rows_beyond_the_calibration_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "CALIBRATION", 5)
+    rows = [(k, f"http://{'casino' if k % 2 else 'site'}{k}.net/") for k in range(400)] + [(k, "http://same.net/") for k in range(400, 500)]
+    model = url_filter.fit(spark.createDataFrame(rows, "page_id long, url string"))
+    assert model.low[:, :, 3].sum() == 500 - 10  # one end mark a counted row
+
+
 def test_pseudonyms(spark):
     t = "Mail Bob.7@x.example.com or +1 (317) 555-3649, (212) 555-0100; card 4539 1488 0343 6467 not 4539148803436468; 10.1.22.250 999.1.1.1; 123-45-6789; 2024-02-29 31.12.1999 12/31/1999 2024-02-30; GB82 WEST 1234 5698 7654 32."
     new, counts = pii.pseudonymise(t)
