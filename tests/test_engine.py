@@ -114,3 +114,16 @@ def test_entry_without_training_package():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_every_link_is_typed(spark):
+    import __spark_entry__ as e
+
+    from foliograph.plans import adapter
+
+    d = "/root/testdata/sf0.001"
+    paths = {r["path"] for r in adapter.entity_files(spark, d).collect()}
+    kind = lambda t: "file" if t in paths else "directory" if any(p.startswith(f"{t}/") for p in paths) else "missing"
+    want = sorted((r["source"], r["line"], r["target"], kind(r["target"])) for r in adapter.entity_links(spark, d).collect())
+    got = sorted(tuple(r) for r in e.queries()["refs_typed_all"](spark, d).collect())
+    assert got == want and any(r[0].startswith("customer/") for r in got)
