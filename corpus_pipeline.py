@@ -23,8 +23,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of linked texts."""
-    return ngram_join.one_of_each(docs)
+    """One document of each class of texts linked by at least 80 % of their five-word shingles."""
+    return ngram_join.one_of_each(docs, percent=80, words=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

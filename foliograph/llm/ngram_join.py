@@ -39,8 +39,8 @@ LEAF, FAN_OUT = 32, 8
 ORDER_SAMPLE, FREQUENT = 4000, 3
 
 
-def shingles(text: bytes | None) -> np.ndarray:
-    return shingle_hashes((text or b"").lower(), WORDS)
+def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
+    return shingle_hashes((text or b"").lower(), words)
 
 
 def point(hashes: np.ndarray) -> bytes:
@@ -232,18 +232,18 @@ def _join_cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         yield from made(held, *join(held, fresh))
 
 
-def _frequent(docs: DataFrame) -> np.ndarray:
+def _frequent(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     """Sorted hashes of the shingles found in ``FREQUENT`` sampled documents or more: a bounded list."""
     total = docs.count()
     if not total:
         return np.zeros(0, np.uint64)
     some = docs.select(F.col("text").cast("binary").alias("text")).sample(False, min(1.0, ORDER_SAMPLE / total), seed=11)
-    hashes = arrow_map(some, lambda cols: [np.concatenate([np.zeros(0, np.int64), *(signed(shingles(t)) for t in cols[0])])], "h long", most=64)
+    hashes = arrow_map(some, lambda cols: [np.concatenate([np.zeros(0, np.int64), *(signed(shingles(t, words)) for t in cols[0])])], "h long", most=64)
     rows = hashes.groupBy("h").count().where(F.col("count") >= FREQUENT).select("h").toPandas()
     return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
 
 
-def profile(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> DataFrame:
+def profile(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """(doc_id, n, h1, h2, point, tokens, beside, rest) of every row: size and digest of the set, its point, its first
     shingles and its neighbourhoods."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -251,7 +251,7 @@ def profile(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> Da
     def describe(texts):
         out: list[list] = [[] for _ in range(7)]
         for t in texts:
-            h = shingles(t)
+            h = shingles(t, words)
             with np.errstate(over="ignore"):
                 h1, h2 = int(h.sum(dtype=np.uint64)), int(mix64(h ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
             row = (len(h), h1 - (h1 >> 63 << 64), h2 - (h2 >> 63 << 64), point(h), signed(np.sort(prefix(h, shared.value, percent))), *map(signed, neighbourhoods(h)))
@@ -262,7 +262,7 @@ def profile(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> Da
     return extend(docs.select(F.col("doc_id").cast("long"), "text"), ["text"], describe, "n long, h1 long, h2 long, point binary, tokens array<long>, beside array<long>, rest array<long>", keep=["doc_id"], most=128)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int, folder: str, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int, words: int, folder: str, name: str) -> DataFrame:
     """The pairs (a, b) of doc_ids whose texts are linked."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(ids, "doc_id").dropDuplicates(["doc_id", "text"]), f"{name}-texts", folder)
@@ -273,7 +273,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, folder: str, name
         for a, b, x, y in zip(*cols):
             for t in (x, y):
                 if t not in sets:
-                    sets[t] = shingles(t)
+                    sets[t] = shingles(t, words)
             if linked(sets[x], sets[y], percent):
                 kept.append((a, b))
         return [list(c) for c in zip(*kept)] if kept else None
@@ -293,7 +293,7 @@ def _within_bound(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     return arrow_map(both, bound, "a long, b long", most=4096).distinct()
 
 
-def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles and component_id, the smallest doc_id that links reach.
 
     Null, empty and blank texts have no shingles, are linked with nothing and stand for themselves. Rows that share a doc_id
@@ -301,7 +301,7 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     document, else a null one. Further columns are not read; an empty table gives no rows.
     """
     spark, folder = docs.sparkSession, work_dir(docs.sparkSession)
-    profiles = stored(profile(docs, _frequent(docs), percent), "profiles", folder)
+    profiles = stored(profile(docs, _frequent(docs, words), percent, words), "profiles", folder)
     own = profiles.where("doc_id IS NOT NULL AND n > 0")
     nodes = own.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n", "point", "tokens", "beside", "rest")).alias("x"))
     nodes = stored(nodes.select("h1", "h2", F.col("x.doc_id").alias("node"), "x.n", "x.point", "x.tokens", "x.beside", "x.rest"), "nodes", folder)
@@ -314,7 +314,7 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     tried = stored(_within_bound(beside, nodes, percent), "beside", folder)
     links, groups = None, None
     if tried.take(1):
-        links = _verified(tried, docs, percent, folder, "beside")
+        links = _verified(tried, docs, percent, words, folder, "beside")
         groups = stored(connected(links), "groups", folder)
 
     by_size = Window.partitionBy("token").orderBy("n", "node")
@@ -333,7 +333,7 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = stored(dealt.mapInArrow(lambda batches: _join_cells(batches, percent), "a long, b long").distinct(), "pairs", folder)
     if links is not None:
         pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    more = _verified(pairs, docs, percent, folder, "pairs")
+    more = _verified(pairs, docs, percent, words, folder, "pairs")
     links = more if links is None else links.unionByName(more)
 
     sets = nodes.select("h1", "h2", "node")
@@ -346,13 +346,13 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """``docs`` with one row of each class: that of the smallest doc_id.
 
     Of rows sharing a doc_id the smallest row stays. Rows without words are alone in their class and stay; rows with a null
     id cannot stand for a class and stay as well. Further columns are carried along.
     """
-    heads = stored(classes(docs, percent).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__n")), "heads")
+    heads = stored(classes(docs, percent, words).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__n")), "heads")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     # Heads grow with the documents, so they are never broadcast: the plan is the same at every size.
     named = docs.join(heads.hint("merge"), "doc_id")

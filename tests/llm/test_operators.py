@@ -55,6 +55,18 @@ def test_ngram_join_against_all_pairs(spark, docs):
     assert ngram_join.classes(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_near_duplicates_stage_links_five_words_at_80(spark):
+    import corpus_pipeline
+
+    own = [f"v{k}" for k in range(96)]
+    near = own[:30] + ["other"] + own[31:60] + ["more"] + own[61:]
+    rows = [(1, " ".join(own), "x"), (2, " ".join(near), "x"), (3, " ".join(f"u{k}" for k in range(96)), "x")]
+    s4, s5 = ([{tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for w in (own, near)] for n in (4, 5))
+    assert len(s4[0] & s4[1]) / len(s4[0] | s4[1]) < 0.85 and len(s5[0] & s5[1]) / len(s5[0] | s5[1]) >= 0.8
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 3]
+
+
 def test_rtree_finds_all_that_pass_the_bound():
     r = np.random.default_rng(1)
     points = r.poisson(1.5, (500, ngram_join.GROUPS)).astype(np.int32)
