@@ -7,6 +7,7 @@ is kept, and the chunks' responses are averaged and maximised into one vector fo
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -104,8 +105,11 @@ class _Adam:
         value -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(s / (1 - 0.999**self.t)) + 1e-8)
 
 
-def train(texts: list[bytes], y: np.ndarray, totals: dict[int, int], epochs: int = 10, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Network:
-    """Fit by Adam on four fifths of the documents and calibrate on the rest; one class alone gives a constant."""
+def train(texts: list[bytes], y: np.ndarray, totals: dict[int, int], whole: Callable[["Network", np.ndarray], tuple[np.ndarray, np.ndarray]], epochs: int = 10, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Network:
+    """Fit by Adam on four fifths of the documents and calibrate on the rest; one class alone gives a constant.
+
+    ``whole`` gives the logits and labels of the whole texts of the documents at some places.
+    """
     net = Network.start(seed)
     if len(np.unique(y)) < 2:
         share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
@@ -162,8 +166,8 @@ def train(texts: list[bytes], y: np.ndarray, totals: dict[int, int], epochs: int
                 adam.step(name, value, grad)
     net.offset = float(offset[0])
     own = np.flatnonzero(calibrates) if calibrates.any() else learns
-    z = np.array([net.logit(texts[k]) for k in own])
-    net.slope, net.shift = platt(z, y[own], class_weights(y[own], totals))
+    z, y = whole(net, own)
+    net.slope, net.shift = platt(z, y, class_weights(y, totals))
     return net
 
 
@@ -171,6 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Netwo
     """Train on at most ``per_class`` labelled documents of each class that are not held out.
 
     Executors send the driver ``TRAIN_CHUNKS`` chunks of a text at most, spread over it, so the driver's share is bounded.
+    They score the whole texts of the rows that calibrate, as texts are scored later.
     """
     rows, totals = labelled_sample(docs, labels, "quality", per_class, learnable_only=True)
 
@@ -183,7 +188,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Netwo
         return [out]
 
     got = sorted((r["doc_id"], r["label"], bytes(r["sample"])) for r in extend(rows, ["text"], spread, "sample binary", keep=["doc_id", "label"]).collect())
-    return train([r[2] for r in got], np.array([r[1] for r in got], np.float64), totals)
+
+    def whole(net, places):
+        ids = sorted({got[k][0] for k in places})
+        logits = extend(rows.where(F.col("doc_id").isin(ids)), ["text"], lambda texts: [[net.logit(t) for t in texts]], "z double", keep=["doc_id", "label"])
+        found = sorted((r["doc_id"], r["label"], r["z"]) for r in logits.collect())
+        return np.array([r[2] for r in found]), np.array([r[1] for r in found], np.float64)
+
+    return train([r[2] for r in got], np.array([r[1] for r in got], np.float64), totals, whole)
 
 
 def apply(docs: DataFrame, net: Network, keep: list[str] | None = None, accept_at: float = ACCEPT_AT) -> DataFrame:

@@ -221,6 +221,23 @@ def test_quality_models(labelled):
     assert b.shape[1] == quality_cnn.CHUNK and len(b) * (quality_cnn.CHUNK - quality_cnn.OVERLAP) + quality_cnn.OVERLAP >= 255 * 30
 
 
+def test_long_texts_calibrate_whole(spark):
+    from foliograph.llm.common import HELD_OUT_FOLD, class_weights, platt
+
+    r = random.Random(12)
+    word = lambda good: "".join(r.choices("etaoins" if good else "etaoinsqxz", k=r.randint(2, 8)))
+    texts = {k: " ".join(word(k % 2) for _ in range(60 if k % 3 else 4000)) for k in range(160)}
+    df = spark.createDataFrame([(k, t, "x") for k, t in texts.items()], DOCS)
+    net = quality_cnn.fit(df, spark.createDataFrame([(k, k % 2, 0) for k in texts], "doc_id long, quality int, toxic int"))
+    learned = [k for k in texts if zlib.crc32(str(k).encode()) % 4 != HELD_OUT_FOLD]
+    own = learned[4::5]
+    z, y = np.array([net.logit(texts[k].encode()) for k in own]), np.array([k % 2 for k in own], np.float64)
+    totals = {c: sum(k % 2 == c for k in learned) for c in (0, 1)}
+    assert np.allclose((net.slope, net.shift), platt(z, y, class_weights(y, totals)), rtol=1e-3)
+    long = [x for x in quality_cnn.apply(df, net).collect() if x["held_out"] and x["doc_id"] % 3 == 0]
+    assert len(long) > 5 and np.mean([x["predicted"] == x["doc_id"] % 2 for x in long]) > 0.9
+
+
 def test_language(spark):
     r = random.Random(6)
     rows = [(k, " ".join("".join(r.choices("aeiou" if k % 2 else "bcdfg", k=5)) for _ in range(20)), "va" if k % 2 else "co") for k in range(80)] + [(500, None, "va"), (501, "12 !", "va"), (502, "aei", None)]
