@@ -16,7 +16,8 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 13
 #: Added to every bucket's count of every language.
 SMOOTHING = 0.5
-#: Evidence of a text in n-grams counts up to this many, so that scores stay comparable between short and long texts.
+#: Reported scores are tempered as if a text had this many n-grams at most, so that they stay comparable between short and
+#: long texts; the language is that of all n-grams and the prior.
 EVIDENCE = 60.0
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -58,7 +59,7 @@ class LanguageModel:
         n = np.array([w.sum() for w in weight], np.float64)
         products = self.log_probability[np.concatenate(at)] * np.concatenate(weight)[:, None]
         total = np.add.reduceat(products, np.concatenate([[0], np.cumsum(size)[:-1]]))
-        z = total / n[:, None] * np.minimum(n, EVIDENCE)[:, None] + self.prior
+        z = (total + self.prior) * (np.minimum(n, EVIDENCE) / n)[:, None]
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         for k, best, row in zip(rows, p.argmax(1), p):

@@ -248,6 +248,15 @@ def test_language(spark):
     assert langid.apply(df, langid.fit(df.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_long_texts_outweigh_the_prior():
+    at = np.flatnonzero(langid.counts(b"abcd"))
+    table = np.full((langid.BUCKETS, 2), -9.0)
+    table[at, 1] += 0.1
+    model = langid.LanguageModel(("common", "rare"), table, np.log([0.999, 0.001]))
+    names, scores = model.predict([b"abcd", b"abcd " * 100])
+    assert names == ["common", "rare"] and 0.5 <= scores[1] < 0.999
+
+
 def test_url_filter(spark):
     rows = [(k, f"https://{'casino-win' if k % 7 == 0 else f'site{k}'}.example.net/en/{k}") for k in range(300)]
     rows += [(1000, "HTTP://WWW.Example.ORG/es/1?x=://y"), (1001, None), (1002, "no url"), (1003, "http://a.com/de/"), (1004, "http://notcom/de/"), (1005, "http://example.org/en/12#f"), (1006, "http://x.org")]
