@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, keep_rows
 
-#: Edits allowed per character of an item, and the shortest item that is looked for (after normalising).
+#: Edits allowed per character of an item, and the shortest item that may have any (after normalising).
 RATE, MIN_CHARS = 0.08, 24
 #: Characters of items handled by one automaton (a bound on what is broadcast; more items make more blocks).
 BLOCK_CHARS = 8_000_000
 SCHEMA = "doc_id long, item_id long, distance int, budget int, item_chars int"
 _NOT_WORD = re.compile(r"[\W_]+")
+#: Scripts that set no space between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normalise(text: str) -> str:
@@ -27,9 +29,19 @@ def normalise(text: str) -> str:
     return _NOT_WORD.sub(" ", text.lower()).strip()
 
 
-def pieces(item: str, rate: float = RATE) -> list[tuple[int, str]]:
+def budget_of(item: str, rate: float = RATE, min_chars: int = MIN_CHARS) -> int:
+    """Edits that an item may have; shorter ones than ``min_chars`` only count as they are."""
+    return 0 if len(item) < min_chars else int(len(item) * rate)
+
+
+def stands_alone(s: str, start: int, end: int) -> bool:
+    """Whether no word of ``s`` goes on over either end of ``s[start:end]``."""
+    return all(at in (0, len(s)) or " " in s[at - 1 : at + 1] or _UNSPACED.search(s[at - 1 : at + 1]) for at in (start, end))
+
+
+def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     """(offset, piece): error budget plus one pieces of nearly equal length."""
-    n = int(len(item) * rate) + 1
+    n = budget + 1
     cuts = [len(item) * k // n for k in range(n + 1)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
@@ -75,18 +87,19 @@ def peq(item: str) -> dict[str, int]:
 class Matcher:
     """All items of one block. Sent to the workers as plain items; each worker builds its automaton once."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
-        self.items, self.rate, self.automaton = items, rate, None
+    def __init__(self, items: list[tuple[int | None, str]], rate: float = RATE, min_chars: int = MIN_CHARS):
+        self.items, self.rate, self.min_chars, self.automaton = items, rate, min_chars, None
 
     def __getstate__(self):
-        return {"items": self.items, "rate": self.rate, "automaton": None}
+        return {"items": self.items, "rate": self.rate, "min_chars": self.min_chars, "automaton": None}
 
     def _build(self) -> None:
         import ahocorasick
 
+        self.budgets = [budget_of(item, self.rate, self.min_chars) for _, item in self.items]
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (_, item) in enumerate(self.items):
-            for at, piece in pieces(item, self.rate):
+            for at, piece in pieces(item, self.budgets[k]):
                 found.setdefault(piece, []).append((k, at))
         self.automaton = ahocorasick.Automaton()
         for piece, owners in found.items():
@@ -94,7 +107,7 @@ class Matcher:
         self.automaton.make_automaton()
         self.masks = [peq(item) for _, item in self.items]
 
-    def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
+    def matches(self, text: str | None) -> list[tuple[int | None, int, int, int]]:
         """(item_id, distance, budget, item length) of every item that occurs within its budget."""
         if not text or not self.items:
             return []
@@ -106,10 +119,12 @@ class Matcher:
         for end, (size, owners) in self.automaton.iter(s):
             for k, at in owners:
                 item = self.items[k][1]
-                budget = int(len(item) * self.rate)
+                budget = self.budgets[k]
                 if len(s) < len(item) - budget or best.get(k) == 0:
                     continue
                 start = end - size + 1 - at
+                if len(item) < self.min_chars and not stands_alone(s, start, end + 1):
+                    continue
                 if s.startswith(item, max(0, start)) and start >= 0:
                     best[k] = 0
                     continue
@@ -123,32 +138,32 @@ class Matcher:
                 d = myers(item, window, min(budget, best.get(k, budget + 1) - 1), self.masks[k])
                 if d <= budget and d < best.get(k, budget + 1):
                     best[k] = d
-        return [(self.items[k][0], d, int(len(self.items[k][1]) * self.rate), len(self.items[k][1])) for k, d in sorted(best.items())]
+        return [(self.items[k][0], d, self.budgets[k], len(self.items[k][1])) for k, d in sorted(best.items())]
 
 
 def blocks(benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS):
     """Matchers over all usable items, in blocks of bounded size, one block on the driver at a time."""
-    held: list[tuple[int, str]] = []
+    held: list[tuple[int | None, str]] = []
     size = 0
-    rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text")
+    rows = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text")
     for r in rows.toLocalIterator():
         item = normalise(r["text"])
-        if len(item) < min_chars:
+        if not item:
             continue
         held.append((r["item_id"], item))
         size += len(item)
         if size >= block_chars:
-            yield Matcher(held, rate)
+            yield Matcher(held, rate, min_chars)
             held, size = [], 0
     if held:
-        yield Matcher(held, rate)
+        yield Matcher(held, rate, min_chars)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each document row and item found in it: doc_id, item_id, least distance, budget and item length.
 
-    Null and empty texts hold nothing, null or shorter items (normalised) are not looked for, items or rows that repeat give
-    rows each, an empty benchmark or table gives no rows; further columns are not read.
+    Null and empty texts hold nothing, null and empty items (normalised) are not looked for, shorter ones only as they are
+    and as whole words, items without an id have a null one, items or rows that repeat give rows each, an empty benchmark or table gives no rows; further columns are not read.
     """
     source, out = docs.select(F.col("doc_id").cast("long"), "text"), None
     for matcher in blocks(benchmark, rate, min_chars, block_chars):

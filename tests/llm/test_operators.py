@@ -152,6 +152,15 @@ def test_decontamination_against_dynamic_programming(spark):
     assert decontaminate.find(df, bench.limit(0)).count() == 0
 
 
+def test_short_items_and_items_without_an_id(spark):
+    bench = spark.createDataFrame([(1, "Blue whale!"), (2, "蓝鲸是最大的动物"), (None, "a long item that has no id but stands in a text"), (3, "..."), (None, "ruby")], "item_id long, text string")
+    rows = [(10, "The blue  WHALE sings", "x"), (11, "the blue whales sing", "x"), (12, "a blue whalf", "x"), (13, "众所周知蓝鲸是最大的动物之一", "x"), (14, "so a long item that has no id but stand in a text", "x"), (15, "rubys; blue whales, blue whale", "x")]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {tuple(r)[:4] for r in decontaminate.find(df, bench).collect()}
+    assert got == {(10, 1, 0, 0), (13, 2, 0, 0), (14, None, 1, 3), (15, 1, 0, 0)}
+    assert sorted(r["doc_id"] for r in decontaminate.clean(df, bench).collect()) == [11, 12]
+
+
 def test_decompose():
     for n in (0, 1, 2047, 2048, 5000, 123_456):
         got = packing.decompose(n)
