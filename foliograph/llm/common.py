@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -14,27 +15,48 @@ from pyspark.sql import functions as F
 #: Folds of ``crc32(doc_id)``; the last one named here is never learned from.
 FOLDS, HELD_OUT_FOLD = 4, 2
 
-MASK64 = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_TAIL_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; that folder is set to a temporary one only where it is unset."""
+    """A new folder name below ``spark.checkpoint.dir``. Where that is unset, a temporary folder stands in for it on a single
+    machine; on a cluster, whose executors would each see a folder of their own, it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             root = jvm_dir.get()
-        else:
+        elif spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
             root = tempfile.mkdtemp(prefix="foliograph-")
             spark.sparkContext.setCheckpointDir(root)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a work table that nothing will read again; one that is not there is no error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like ``wanted`` that no column of ``df`` has (Spark's names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to shared storage and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -81,17 +103,6 @@ def arrow_map(df: DataFrame, fn: Callable[[list[list]], list[list] | None], sche
     return df.mapInArrow(run, spark_schema)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``base**i`` and ``base**-i`` modulo 2**64 for i < n (kept and doubled as longer texts come)."""
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 1 << 14)
-        for k, b in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0], _powers[1]
-
-
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser: spreads every input bit over the word."""
     h = h ^ (h >> np.uint64(30))
@@ -104,8 +115,8 @@ def mix64(h: np.ndarray) -> np.ndarray:
 def word_hashes(text: bytes) -> np.ndarray:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of a text, in order.
 
-    A polynomial prefix hash gives every word's hash from two array reads; equal words have equal hashes wherever they
-    stand.
+    A word is taken in blocks of eight bytes, each mixed into what the blocks before it gave, for all words at once; words of
+    more than ``LONG_WORD`` bytes go through blake2b. Words of up to eight bytes cannot collide with others of their length.
     """
     b = np.frombuffer(text, np.uint8)
     if not len(b):
@@ -116,11 +127,20 @@ def word_hashes(text: bytes) -> np.ndarray:
     edges = np.flatnonzero(word[1:] != word[:-1])
     if not len(edges):
         return np.zeros(0, np.uint64)
-    starts, ends = edges[::2], edges[1::2]
-    up, down = powers(len(b) + 1)
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts])
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    padded = text + bytes(8)
+    blocks = np.ndarray((len(b) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from every place on
+    out = mix64(blocks[starts] & _TAIL_MASKS[np.minimum(sizes, 8)] ^ (sizes.astype(np.uint64) << np.uint64(57)))
+    more, at = np.flatnonzero(sizes > 8), 8
+    while len(more) and at < LONG_WORD:
+        block = blocks[starts[more] + at] & _TAIL_MASKS[np.minimum(sizes[more] - at, 8)]
+        out[more] = mix64(out[more] * np.uint64(0x9E3779B97F4A7C15) ^ block)
+        at += 8
+        more = more[sizes[more] > at]
+    for k in more.tolist():
+        word_bytes = text[starts[k] : starts[k] + sizes[k]]
+        out[k] = np.uint64(int.from_bytes(blake2b(word_bytes, digest_size=8).digest(), "little"))
+    return out
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -195,8 +215,9 @@ def extend(df: DataFrame, inputs: list[str], fn: Callable[..., list], schema: st
     kept = [f for f in df.schema if f.name.lower() not in names and (keep is None or f.name in keep)]
     out_schema = StructType([*kept, *new])
     arrow_new = to_arrow_schema(new)
-    need = [f.name for f in kept] + [f"__in{k}" for k in range(len(inputs))]
-    source = df.select(*[F.col(f"`{f.name}`") for f in kept], *[F.col(f"`{c}`").alias(f"__in{k}") for k, c in enumerate(inputs)])
+    given = unused(df, *(f"in{k}" for k in range(len(inputs))))
+    need = [f.name for f in kept] + given
+    source = df.select(*[F.col(f"`{f.name}`") for f in kept], *[F.col(f"`{c}`").alias(x) for x, c in zip(given, inputs)])
     n_kept = len(kept)
 
     def run(batches):

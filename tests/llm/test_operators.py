@@ -71,10 +71,90 @@ def test_rtree_finds_all_that_pass_the_bound():
     r = np.random.default_rng(1)
     points = r.poisson(1.5, (500, ngram_join.GROUPS)).astype(np.int32)
     points[250:] = points[:250] + (r.random((250, ngram_join.GROUPS)) < 0.05)
-    sizes = points.sum(1)
-    q, p = ngram_join.CountRTree(sizes, points).search(sizes, points)
-    want = {(i, j) for i in range(500) for j in range(500) if 185 * np.minimum(points[i], points[j]).sum() >= 85 * (sizes[i] + sizes[j])}
-    assert set(zip(q.tolist(), p.tolist())) == want
+    sizes, cell, part = points.sum(1), np.arange(500) % 250 % 3, np.arange(500) % 7
+    rest = sizes - r.integers(0, 30, 500)
+    tree = ngram_join.CountRTree(cell, part, sizes, rest, points)
+    tree.PIECE = 1000
+    found = [(tree.order[i], tree.order[j]) for q, p, _ in tree.search(np.arange(500)) for i, j in zip(q.tolist(), p.tolist())]
+
+    def passes(i, j):
+        most = min(np.minimum(points[i], points[j]).sum(), rest[i], rest[j])
+        return cell[i] == cell[j] and part[i] != part[j] and 185 * most >= 85 * (sizes[i] + sizes[j])
+
+    want = {(i, j) for i in range(500) for j in range(500) if passes(i, j)}
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 50
+    near = ngram_join.CountRTree(cell, np.arange(500), sizes, sizes, np.repeat(points[:20], 25, 0), settled=False)
+    first, second, _ = near.leaf_pairs(np.ones(500, bool))
+    assert len(first) > 500 and all(first < second) and all(near.cell[first] == near.cell[second])
+
+
+def test_all_links_come_out_of_the_tree(spark, docs, monkeypatch):
+    """Every candidate of the whole table is a pair that a tree gave for a probe; large cells and tiles included."""
+    candidates, given = ngram_join._candidates, []
+
+    def counted(cells, nodes, percent, turn):
+        out = candidates(cells, nodes, percent, turn).cache()
+        given.append((turn, cells.count(), {(r["a"], r["b"]) for r in out.collect()}))
+        return out
+
+    verified, tried = ngram_join._verified, []
+
+    def checked(pairs, *rest):
+        tried.extend((r["a"], r["b"]) for r in pairs.collect())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_candidates", counted)
+    monkeypatch.setattr(ngram_join, "_verified", checked)
+    ngram_join.classes(spark.createDataFrame(docs, DOCS)).collect()
+    assert given[0][0] == 1 and given[0][1] > 100 and tried and set(tried) <= set().union(*(x for _, _, x in given))
+
+
+def test_large_groups_of_near_copies_settle(spark, monkeypatch):
+    """A chain of texts whose ends are far apart, many near copies of one text and strays that share their frequent words;
+    cells are dealt out into tiles of 16 points."""
+    monkeypatch.setattr(ngram_join, "TILE", 16)
+    r = random.Random(9)
+    base = [f"b{k}" for k in range(60)]
+    rows = [(999, " ".join(base), "x")]
+    for k in range(150):
+        near = base[:]
+        near[r.randrange(60)] = f"x{k}"
+        rows.append((k + 1000, " ".join(near), "x"))
+    for k in range(40):  # each link of the chain renames one more word
+        rows.append((k + 2000, " ".join(f"{'d' if j < k else 'c'}{j}" for j in range(60)), "x"))
+    for k in range(100):
+        rows.append((k + 3000, " ".join(base[:40] + [f"own{k}-{j}" for j in range(20)]), "x"))
+    sets = [(i, {tuple(w[k : k + 4]) for k in range(len(w) - 3)}) for i, w in ((i, t.split()) for i, t, _ in rows)]
+    want = {i: i for i, _ in sets}
+    for _ in range(60):
+        for i, a in sets:
+            want[i] = min(want[j] for j, b in sets if 100 * len(a & b) >= 85 * len(a | b))
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.classes(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want and len(set(want.values())) < 120
+
+
+def test_a_shingle_in_100_000_texts_makes_no_quadratic_cell(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = []
+    candidates = ngram_join._candidates
+    monkeypatch.setattr(ngram_join, "_candidates", lambda cells, *rest: rows.append(cells.count()) or candidates(cells, *rest))
+    text = F.concat(F.lit(" ".join(f"p{k}" for k in range(20))), *(F.concat(F.lit(f" {c}"), F.col("id")) for c in "abc"))
+    got = ngram_join.classes(spark.range(100_000).select(F.col("id").alias("doc_id"), text.alias("text")))
+    assert got.where("doc_id = component_id").count() == 100_000 and max(rows) < 1000
+
+
+def test_words_that_a_polynomial_cannot_tell_apart():
+    word = "ab"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+        other = word.translate(str.maketrans("ab", "ba"))
+        assert len(set(word_hashes(f"{word} {other}".encode()).tolist())) == 2
+    r = random.Random(2)
+    words = [bytes(r.choices(range(33, 256), k=r.choice([1, 7, 8, 9, 16, 17, 63, 64, 65, 200]))) for _ in range(3000)]
+    one = {w: int(word_hashes(w)[0]) for w in words}
+    assert len(set(one.values())) == len(one)
+    assert word_hashes(b"\t".join(words) + b" ").tolist() == [one[w] for w in words]
 
 
 def test_scaled_points_stay_upper_bounds():
