@@ -65,6 +65,22 @@ def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if more than one row in so many has it; so there are fewer hot keys than this (the bound of a broadcast).
+HOT_SHARE = 10_000
+
+
+def join_by_key(rows: DataFrame, one_each: DataFrame, keys: list[str], times: str) -> DataFrame:
+    """Inner join of ``rows`` with a stored table of one row a key, whose column ``times`` says how many rows have the key.
+
+    The few hot keys are broadcast, so their rows stay where they are; the others are dealt out by key.
+    """
+    total = one_each.agg(F.sum(times)).first()[0] or 0
+    hot = F.broadcast(one_each.where(F.col(times) * HOT_SHARE > total).drop(times))
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    rest = one_each.where(F.col(times) * HOT_SHARE <= total).drop(times)
+    return rows.join(hot, keys).unionByName(others.join(rest.hint("merge"), keys))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

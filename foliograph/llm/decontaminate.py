@@ -17,7 +17,7 @@ from .common import arrow_map, keep_rows
 #: Edits allowed per character of an item, and the shortest item that may have any (after normalising).
 RATE, MIN_CHARS = 0.08, 24
 #: Characters of items handled by one automaton (a bound on what is broadcast; more items make more blocks).
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 SCHEMA = "doc_id long, item_id long, distance int, budget int, item_chars int"
 _NOT_WORD = re.compile(r"[\W_]+")
 #: Scripts that set no space between words.
@@ -162,8 +162,9 @@ def blocks(benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS,
 def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each document row and item found in it: doc_id, item_id, least distance, budget and item length.
 
-    Null and empty texts hold nothing, null and empty items (normalised) are not looked for, shorter ones only as they are
-    and as whole words, items without an id have a null one, items or rows that repeat give rows each, an empty benchmark or table gives no rows; further columns are not read.
+    Null and empty texts hold nothing; very long ones are read whole. Null and empty items (normalised) are not looked for,
+    items under ``min_chars`` only as they are and as whole words. Items without an id have a null one; items or rows that
+    repeat give rows each; an empty benchmark or table gives no rows; further columns, whatever their names, are not read.
     """
     source, out = docs.select(F.col("doc_id").cast("long"), "text"), None
     for matcher in blocks(benchmark, rate, min_chars, block_chars):
@@ -179,8 +180,15 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: i
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` in whose text no item is found, with their own columns; null texts stay."""
+    """The rows of ``docs`` in whose text no item is found, with their own columns, whatever their names.
+
+    Null and empty texts stay, as do null ids and repeated rows; an empty table stays empty, an empty benchmark keeps all.
+    """
     for matcher in blocks(benchmark, rate, min_chars, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(matcher)
-        docs = keep_rows(docs, ["text"], lambda texts, shared=shared: [not shared.value.matches(None if t is None else t.decode("utf-8", "replace")) for t in texts], most=256)
+
+        def is_clean(texts, shared=shared):
+            return [not shared.value.matches(None if t is None else t.decode("utf-8", "replace")) for t in texts]
+
+        docs = keep_rows(docs, ["text"], is_clean, most=256)
     return docs

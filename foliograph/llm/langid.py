@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,11 +15,12 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 13
 #: Added to every bucket's count of every language.
 SMOOTHING = 0.5
-#: Reported scores are tempered as if a text had this many n-grams at most, so that they stay comparable between short and
-#: long texts; the language is that of all n-grams and the prior.
-EVIDENCE = 60.0
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: bytes) -> bool:
+    """Whether a text has a character that Unicode calls a letter (digits, fractions and the like are none)."""
+    return any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
 def counts(text: bytes) -> np.ndarray:
@@ -44,26 +44,17 @@ class LanguageModel:
     prior: np.ndarray
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
-        """Scores a batch as a sparse count matrix times the log-probability matrix."""
+        """The likeliest language of each text and its probability: the text's sparse counts times the log-probabilities."""
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        rows = [k for k, t in enumerate(texts) if t and self.languages and _LETTER.search(t.decode("utf-8", "replace"))]
-        if not rows:
-            return names, scores
-        at, weight, size = [], [], []
-        for k in rows:
-            c = counts(texts[k])
-            nz = np.flatnonzero(c)
-            at.append(nz)
-            weight.append(c[nz])
-            size.append(len(nz))
-        n = np.array([w.sum() for w in weight], np.float64)
-        products = self.log_probability[np.concatenate(at)] * np.concatenate(weight)[:, None]
-        total = np.add.reduceat(products, np.concatenate([[0], np.cumsum(size)[:-1]]))
-        z = (total + self.prior) * (np.minimum(n, EVIDENCE) / n)[:, None]
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        for k, best, row in zip(rows, p.argmax(1), p):
-            names[k], scores[k] = self.languages[best], float(row[best])
+        for k, t in enumerate(texts):
+            if not t or not self.languages or not has_letter(t):
+                continue
+            c = counts(t)
+            at = np.flatnonzero(c)
+            z = c[at] @ self.log_probability[at] + self.prior
+            p = np.exp(z - z.max())
+            best = int(p.argmax())
+            names[k], scores[k] = self.languages[best], float(p[best] / p.sum())
         return names, scores
 
 
@@ -88,9 +79,11 @@ def fit(docs: DataFrame, column: str = "lang") -> LanguageModel:
                     docs_of[lang] += 1
         for lang, c in total.items():
             nz = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(nz) + 1)), pa.array([-1, *nz], pa.int32()), pa.array([docs_of[lang], *c[nz]], pa.int64())], names=["lang", "bucket", "n"])
+            columns = [pa.array([lang] * (len(nz) + 1)), pa.array([-1, *nz], pa.int32()), pa.array([docs_of[lang], *c[nz]], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "n"])
 
-    rows = known.select(F.col("text").cast("binary"), F.col(column).cast("string")).mapInArrow(add_up, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = known.select(F.col("text").cast("binary"), F.col(column).cast("string")).mapInArrow(add_up, "lang string, bucket int, n long")
+    rows = sums.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(rows["lang"].unique())
     table, prior = np.full((BUCKETS, len(names)), SMOOTHING), np.zeros(len(names))
     for k, name in enumerate(names):
@@ -106,9 +99,11 @@ def fit(docs: DataFrame, column: str = "lang") -> LanguageModel:
 def apply(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
     """Add ``held_out``, ``lang_pred`` and ``score`` to ``docs``.
 
-    Null texts and texts without a letter are ``und`` with score 0, as is all if nothing could be learned. Rows are judged
-    one by one: null ids (never held out), ties, repeated rows and further columns pass through; columns with the names
-    of new ones are replaced.
+    Null texts and texts without a letter are ``und`` with score 0, as is all if nothing could be learned; very long texts
+    are read whole. Rows are judged one by one: null ids (never held out), ties, repeated rows and further columns pass
+    through; columns with the names of new ones are replaced; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS doubles a language
-    return extend(docs.withColumn("held_out", held_out(F.col("doc_id"))), ["text"], lambda texts: list(shared.value.predict(texts)), "lang_pred string, score double", keep=None if keep is None else [*keep, "held_out"], most=128)
+    kept = None if keep is None else [*keep, "held_out"]
+    marked = docs.withColumn("held_out", held_out(F.col("doc_id")))
+    return extend(marked, ["text"], lambda texts: list(shared.value.predict(texts)), "lang_pred string, score double", keep=kept, most=128)

@@ -14,7 +14,7 @@ from struct import unpack
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, extend, stored, work_dir
+from .common import arrow_map, extend, forget, join_by_key, stored, unused, work_dir
 
 MIN_CHARS, MIN_DOCS, BATCHES, FAN_OUT = 40, 5, 4, 3
 _BLANK = b" \t\n\v\f\r"
@@ -71,7 +71,8 @@ class LineRuns:
         if known is None:
             own = batch
         else:
-            own = batch.join(known.withColumn("__known", F.lit(True)), ["h1", "h2"], "left").select("h1", "h2", "docs", F.when(F.col("__known").isNull(), F.col("keeper")).alias("keeper"))
+            keeper = F.when(F.col("known").isNull(), F.col("keeper")).alias("keeper")
+            own = batch.join(known.withColumn("known", F.lit(True)), ["h1", "h2"], "left").select("h1", "h2", "docs", keeper)
         self.levels[0].append(self._write(own, 0))
         level = 0
         while len(self.levels[level]) >= self.fan_out:
@@ -90,14 +91,16 @@ def _entries(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, h1, h2): the long line keys of every document row, once each."""
 
     def entries(cols):
-        out = [(doc_id, *hash_of(k)) for doc_id, text in zip(*cols) for k in {key_of(x) for x in (text or b"").split(b"\n")} if is_long(k, min_chars)]
+        keys = ((doc_id, {key_of(x) for x in (text or b"").split(b"\n")}) for doc_id, text in zip(*cols))
+        out = [(doc_id, *hash_of(k)) for doc_id, own in keys for k in own if is_long(k, min_chars)]
         return [list(c) for c in zip(*out)] if out else None
 
-    return arrow_map(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("binary")), entries, "doc_id long, h1 long, h2 long", most=256)
+    named = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    return arrow_map(named, entries, "doc_id long, h1 long, h2 long", most=256)
 
 
 def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, keys): for each document that loses lines, the keys (h1, h2) it loses."""
+    """(doc_id, keys): for each document that loses lines, the keys (h1, h2) it loses, at most as many as it has lines."""
     folder = work_dir(docs.sparkSession)
     entries = stored(_entries(docs, min_chars), "entries", folder)
     cuts = [float(k) / batches for k in range(1, batches)]
@@ -113,9 +116,9 @@ def dropped_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
         # equal (key, doc_id) entries count once: a document's repeated lines, or rows that share an id
         once = own.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
         runs.add(once.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper")))
-    common = stored(runs.merged().where(F.col("docs") >= min_docs).select("h1", "h2", "keeper"), "common", folder)
-    lost = entries.join(common, ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper"))
-    return lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("__lost"))
+    common = stored(runs.merged().where(F.col("docs") >= min_docs), "common", folder)
+    lost = join_by_key(entries, common, ["h1", "h2"], "docs").where(F.col("doc_id") != F.col("keeper"))
+    return lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("keys"))
 
 
 def apply(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
@@ -123,11 +126,13 @@ def apply(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
 
     Keys of at least ``min_chars`` code points found in at least ``min_docs`` documents lose all their lines except in the
     largest doc_id holding them. Null and empty texts are one empty line and stay as they are; a text that loses all its
-    lines becomes empty. Rows sharing a doc_id count as one document; rows with a null id count for nothing and keep all
-    their lines. An empty table stays empty; columns named like new ones are replaced.
+    lines becomes empty; very long texts are split whole. Rows sharing a doc_id count as one document; rows with a null id
+    count for nothing and keep all their lines. An empty table stays empty; further columns pass through, whatever their
+    names; columns named like new ones are replaced.
     """
-    lost = dropped_keys(docs, min_chars, min_docs, batches)
-    joined = docs.join(lost, "doc_id", "left").withColumn("__cleaned", F.col("text"))
+    id_, gone_, cleaned_ = unused(docs, "id", "lost", "cleaned")
+    lost = dropped_keys(docs, min_chars, min_docs, batches).select(F.col("doc_id").alias(id_), F.col("keys").alias(gone_))
+    joined = docs.join(lost, F.col("doc_id").cast("long") == F.col(id_), "left").withColumn(cleaned_, F.col("text"))
 
     def clean(texts, losses):
         out, n_lines, n_dropped = [], [], []
@@ -144,5 +149,7 @@ def apply(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
             out.append(None if text is None else text.decode("utf-8", "replace"))
         return [out, n_lines, n_dropped]
 
-    cleaned = extend(joined.drop("text"), ["__cleaned", "__lost"], clean, "text string, n_lines long, n_dropped long", keep=[c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")], most=256)
-    return cleaned.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    new = "text string, n_lines long, n_dropped long"
+    cleaned = extend(joined.drop("text"), [cleaned_, gone_], clean, new, keep=[c for c in kept if c.lower() != "text"], most=256)
+    return cleaned.select(*(F.col(f"`{c}`") for c in kept), "n_lines", "n_dropped")

@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, work_dir
+from .common import join_by_key, stored, work_dir
 
-#: Links contracted together in a worker's memory.
-CHUNK = 200_000
+#: Links contracted together in a worker's memory, and the number of links that one task finishes alone (a fixed bound:
+#: more of them go through the rounds).
+CHUNK, ONE_TASK = 200_000, 15_000
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,21 +58,31 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     repeated links are ignored; an empty table gives no rows.
     """
     folder = work_dir(links.sparkSession)
-    edges = stored(links.where("a <> b").select("a", "b").mapInArrow(_contract, "a long, b long").distinct(), "edges0", folder)
+    edges = stored(links.where("a <> b").select("a", "b").mapInArrow(_contract, "a long, b long"), "edges0", folder)
+    if edges.count() <= ONE_TASK:
+        return _with_centres(edges.coalesce(1).mapInArrow(_contract, "a long, b long"), folder)
     for k in range(1, most_rounds):
-        edges = stored(edges.mapInArrow(_contract, "a long, b long").distinct(), f"edges{k}", folder)
+        edges = stored(edges.distinct().mapInArrow(_contract, "a long, b long").distinct(), f"edges{k}", folder)
         # Settled once every node has one link and no centre has a link of its own.
-        crossing = edges.groupBy("a").count().where("count > 1").select("a").unionByName(edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a"))
-        if not crossing.take(1):
+        linked_twice = edges.groupBy("a").count().where("count > 1").select("a")
+        centres = edges.select(F.col("b").alias("a")).distinct()
+        if not linked_twice.unionByName(edges.join(centres, "a", "left_semi").select("a")).take(1):
             break
+        # A centre may hold most of all links: its row is broadcast, with those of the other large centres.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = stored(large, f"large{k}", folder)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = small.distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = join_by_key(both, stored(least, f"least{k}", folder), ["a"], "n").where("b > a")
+        large = stored(large.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), f"large{k}", folder)
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), f"low{k}", folder)
+        small = join_by_key(large, low, ["a"], "n").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
     else:
         raise RuntimeError("the components did not settle")
-    centres = edges.select(F.col("b").alias("node")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(centres.select("node", F.col("node").alias("component")))
+    return _with_centres(edges, folder)
+
+
+def _with_centres(stars: DataFrame, folder: str) -> DataFrame:
+    """(node, component) of settled stars (node, centre)."""
+    stars = stored(stars, "stars", folder)
+    centres = stars.select(F.col("b").alias("node")).distinct()
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(centres.select("node", F.col("node").alias("component")))

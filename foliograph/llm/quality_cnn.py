@@ -7,7 +7,6 @@ is kept, and the chunks' responses are averaged and maximised into one vector fo
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +17,9 @@ from .common import class_weights, extend, held_out, keep_rows, labelled_sample,
 
 CHUNK, OVERLAP = 1024, 32
 WIDTH, STRIDE, CHANNELS, FILTERS = 8, 4, 8, 16
-#: Labelled documents of each class, and chunks of each, that the fit may read (the documented bound).
-PER_CLASS, TRAIN_CHUNKS = 800, 6
+#: Labelled documents of each class, and bytes of their texts, that the fit may read (the documented bound). Texts are
+#: taken whole, in the order of the sample, as long as they fit in what is left.
+PER_CLASS, CLASS_BYTES = 800, 6_000_000
 ACCEPT_AT = 0.7
 #: Lags looked at for repetition, and the run of equal bytes that counts as one.
 LAGS, RUN = range(2, 22), 8
@@ -105,11 +105,10 @@ class _Adam:
         value -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(s / (1 - 0.999**self.t)) + 1e-8)
 
 
-def train(texts: list[bytes], y: np.ndarray, totals: dict[int, int], whole: Callable[["Network", np.ndarray], tuple[np.ndarray, np.ndarray]], epochs: int = 10, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Network:
-    """Fit by Adam on four fifths of the documents and calibrate on the rest; one class alone gives a constant.
-
-    ``whole`` gives the logits and labels of the whole texts of the documents at some places.
-    """
+def train(
+    texts: list[bytes], y: np.ndarray, totals: dict[int, int], epochs: int = 10, batch: int = 32, rate: float = 0.01, seed: int = 7
+) -> Network:
+    """Fit by Adam on four fifths of the documents and calibrate on the rest; one class alone gives a constant."""
     net = Network.start(seed)
     if len(np.unique(y)) < 2:
         share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
@@ -117,11 +116,7 @@ def train(texts: list[bytes], y: np.ndarray, totals: dict[int, int], whole: Call
         net.shift = float(np.log(share / (1 - share)))
         return net
     r = np.random.default_rng(seed)
-    data = []
-    for t in texts:
-        b, rep = chunks(t)
-        pick = np.unique(np.linspace(0, len(b) - 1, TRAIN_CHUNKS).round().astype(int))
-        data.append((b[pick], rep[pick]))
+    data = [chunks(t) for t in texts]
     calibrates = np.arange(len(y)) % 5 == 4
     if len(np.unique(y[calibrates])) < 2:
         calibrates[:] = False
@@ -162,55 +157,52 @@ def train(texts: list[bytes], y: np.ndarray, totals: dict[int, int], whole: Call
             np.add.at(d_table, bytes_at, d_window)
             d_table[:, -1] = 0
             adam.t += 1
-            for name, value, grad in (("table", net.table, d_table), ("filters", net.filters, d_filters + 1e-5 * net.filters), ("bias", net.bias, dh.sum(0)), ("head", net.head, d_head), ("offset", offset, np.array([d.sum()], np.float32))):
-                adam.step(name, value, grad)
+            adam.step("table", net.table, d_table)
+            adam.step("filters", net.filters, d_filters + 1e-5 * net.filters)
+            adam.step("bias", net.bias, dh.sum(0))
+            adam.step("head", net.head, d_head)
+            adam.step("offset", offset, np.array([d.sum()], np.float32))
     net.offset = float(offset[0])
     own = np.flatnonzero(calibrates) if calibrates.any() else learns
-    z, y = whole(net, own)
-    net.slope, net.shift = platt(z, y, class_weights(y, totals))
+    z = np.array([net.logit(texts[k]) for k in own])
+    net.slope, net.shift = platt(z, y[own], class_weights(y[own], totals))
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network:
-    """Train on at most ``per_class`` labelled documents of each class that are not held out.
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> Network:
+    """Train on at most ``per_class`` labelled documents of each class that are not held out, and ``class_bytes`` of text.
 
-    Executors send the driver ``TRAIN_CHUNKS`` chunks of a text at most, spread over it, so the driver's share is bounded.
-    They score the whole texts of the rows that calibrate, as texts are scored later.
+    The sizes of the sampled texts decide on the driver which of them it gets; those it gets are whole, so it learns and
+    calibrates on texts as they are scored later. Null and empty texts count as one empty chunk; rows that share an id are
+    separate texts; no labels, or those of one class, give a constant.
     """
     rows, totals = labelled_sample(docs, labels, "quality", per_class, learnable_only=True)
-
-    def spread(texts):
-        out = []
-        for t in texts:
-            t, most = t or b"", TRAIN_CHUNKS * CHUNK
-            part = most // TRAIN_CHUNKS
-            out.append(t if len(t) <= most else b"".join(t[s : s + part] for s in np.linspace(0, len(t) - part, TRAIN_CHUNKS).astype(int)))
-        return [out]
-
-    got = sorted((r["doc_id"], r["label"], bytes(r["sample"])) for r in extend(rows, ["text"], spread, "sample binary", keep=["doc_id", "label"]).collect())
-
-    def whole(net, places):
-        ids = sorted({got[k][0] for k in places})
-        logits = extend(rows.where(F.col("doc_id").isin(ids)), ["text"], lambda texts: [[net.logit(t) for t in texts]], "z double", keep=["doc_id", "label"])
-        found = sorted((r["doc_id"], r["label"], r["z"]) for r in logits.collect())
-        return np.array([r[2] for r in found]), np.array([r[1] for r in found], np.float64)
-
-    return train([r[2] for r in got], np.array([r[1] for r in got], np.float64), totals, whole)
+    size = F.coalesce(F.length("text"), F.lit(0))
+    left, ids = {0: class_bytes, 1: class_bytes}, []
+    sizes = rows.groupBy("doc_id", "label").agg(F.sum(size.cast("long")).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id")
+    for r in sizes.collect():  # at most two rows a sampled document
+        if r["size"] <= left[r["label"]]:
+            left[r["label"]] -= r["size"]
+            ids.append(r["doc_id"])
+    got = sorted((r["doc_id"], r["label"], bytes(r["text"] or b"")) for r in rows.where(F.col("doc_id").isin(ids)).collect())
+    return train([r[2] for r in got], np.array([r[1] for r in got], np.float64), totals)
 
 
 def apply(docs: DataFrame, net: Network, keep: list[str] | None = None, accept_at: float = ACCEPT_AT) -> DataFrame:
     """Add ``held_out``, ``score`` and ``predicted`` to ``docs``; every text, also null or empty ones, gets a score.
 
     Rows are scored one by one: null ids (never held out), ties, repeated rows and further columns pass through; columns
-    with the names of new ones are replaced.
+    with the names of new ones are replaced; very long texts are scored whole; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand floats
+    kept = None if keep is None else [*keep, "held_out"]
 
     def score(texts):
         s = [shared.value.probability(t) for t in texts]
         return [s, [int(x >= accept_at) for x in s]]
 
-    return extend(docs.withColumn("held_out", held_out(F.col("doc_id"))), ["text"], score, "score double, predicted int", keep=None if keep is None else [*keep, "held_out"], most=256)
+    marked = docs.withColumn("held_out", held_out(F.col("doc_id")))
+    return extend(marked, ["text"], score, "score double, predicted int", keep=kept, most=256)
 
 
 def accepted(docs: DataFrame, net: Network, accept_at: float = ACCEPT_AT) -> DataFrame:

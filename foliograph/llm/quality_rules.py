@@ -51,15 +51,22 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words
 
 
-def features(text: bytes | None) -> np.ndarray:
-    """Square roots of each half's n-gram shares, a dense vector of ``2 * HALF``."""
-    out = np.zeros(2 * HALF, np.float32)
+def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, values): the square roots of the n-gram shares of each half, for the buckets that a text has."""
     if not text:
-        return out
+        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+    at, values = [], []
+
+    def add(grams: np.ndarray, first: int) -> None:
+        n = np.bincount(grams)
+        own = np.flatnonzero(n)
+        at.append(own + first)
+        values.append(np.sqrt(n[own] / len(grams)).astype(np.float32))
+
     w = word_hashes(text.lower())
     if len(w):
-        grams = np.concatenate([w, mix64(w[:-1] * np.uint64(0xA24BAED4963EE407) + w[1:])]) & np.uint64(HALF - 1)
-        out[:HALF] = np.sqrt(np.bincount(grams.astype(np.int64), minlength=HALF) / len(grams))
+        pairs = mix64(w[:-1] * np.uint64(0xA24BAED4963EE407) + w[1:])
+        add((np.concatenate([w, pairs]) & np.uint64(HALF - 1)).astype(np.int64), 0)
     b = np.frombuffer(text, np.uint8).astype(np.uint32)
     if len(b) >= 3:
         three = (b[:-2] * np.uint32(65599) + b[1:-1]) * np.uint32(65599) + b[2:]
@@ -67,9 +74,8 @@ def features(text: bytes | None) -> np.ndarray:
         if len(b) >= 5:
             five = (three[:-2] * np.uint32(65599) + b[3:-1]) * np.uint32(65599) + b[4:]
             grams.append(five * np.uint32(2246822519) >> np.uint32(17))
-        g = np.concatenate(grams)
-        out[HALF:] = np.sqrt(np.bincount(g, minlength=HALF) / len(g))
-    return out
+        add(np.concatenate(grams), HALF)
+    return (np.concatenate(at), np.concatenate(values)) if at else (np.zeros(0, np.int64), np.zeros(0, np.float32))
 
 
 @dataclass(frozen=True)
@@ -80,35 +86,38 @@ class QualityModel:
     shift: float
 
     def probability(self, text: bytes | None) -> float:
-        z = float(features(text) @ self.weights) + self.offset
+        at, values = features(text)
+        z = float(values @ self.weights[at]) + self.offset
         return float(1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -30, 30))))
 
 
+def constant(share: float = 0.5) -> QualityModel:
+    """A model that gives every text the same probability."""
+    return QualityModel(np.zeros(2 * HALF, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))))
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds: int = 120, decay: float = 1e-5) -> QualityModel:
     """Fit on at most ``per_class`` labelled documents of each class; every fifth one only calibrates.
 
-    Executors send back sparse feature vectors, not texts. With no labels, or labels of one class, the model is constant.
+    Executors send back sparse feature vectors, not texts, and nothing for texts without an n-gram. Without labels, or with
+    usable labels of one class alone, the model is constant.
     """
     rows, totals = labelled_sample(docs, labels, "quality", per_class, learnable_only=False)
 
     def sparse(texts):
         where, what = [], []
         for t in texts:
-            f = features(t)
-            k = np.flatnonzero(f)
-            where.append(k.astype("<i4").tobytes())
-            what.append(f[k].astype("<f4").tobytes())
+            at, values = features(t)
+            where.append(at.astype("<i4").tobytes())
+            what.append(values.astype("<f4").tobytes())
         return [where, what]
 
-    got = sorted(((r["doc_id"], r["label"], r["at"], r["v"]) for r in extend(rows, ["text"], sparse, "at binary, v binary", keep=["doc_id", "label"]).collect()), key=lambda r: (r[0], r[1]))
+    found = extend(rows, ["text"], sparse, "at binary, v binary", keep=["doc_id", "label"]).collect()
+    got = sorted(((r["doc_id"], r["label"], r["at"], r["v"]) for r in found if r["at"]), key=lambda r: (r[0], r[1]))
     y = np.array([r[1] for r in got], np.float64)
-    weights = np.zeros(2 * HALF, np.float32)
     if len(np.unique(y)) < 2:
-        share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
-        return QualityModel(weights, 0.0, 1.0, float(np.log(share / (1 - share))))
+        return constant(float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5)
     lengths = np.array([len(r[2]) // 4 for r in got])
-    keep = lengths > 0
-    got, y, lengths = [r for r, k in zip(got, keep) if k], y[keep], lengths[keep]
     at = np.concatenate([np.frombuffer(r[2], "<i4") for r in got]).astype(np.int64)
     v = np.concatenate([np.frombuffer(r[3], "<f4") for r in got]).astype(np.float64)
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -136,8 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds:
 def apply(docs: DataFrame, model: QualityModel, keep: list[str] | None = None, keep_at: float = KEEP_AT) -> DataFrame:
     """Add the base counts, ``base_failed``, ``probability`` and ``kept`` to ``docs``.
 
-    Null and empty texts have no words, so they fail the base rules. Rows are judged one by one: null ids, ties, repeated
-    rows and further columns pass through; columns with the names of new ones are replaced.
+    Null and empty texts have no words, so they fail the base rules; very long texts are read whole. Rows are judged one by
+    one: null ids, ties, repeated rows and further columns pass through; columns with the names of new ones are replaced; an
+    empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 * HALF floats, whatever the corpus
 
@@ -147,4 +157,5 @@ def apply(docs: DataFrame, model: QualityModel, keep: list[str] | None = None, k
         p = [shared.value.probability(t) for t in texts]
         return [*(list(c) for c in zip(*counts)), failed, p, [not f and x >= keep_at for f, x in zip(failed, p)]]
 
-    return extend(docs, ["text"], judge, ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, probability double, kept boolean", keep=keep, most=256)
+    columns = ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, probability double, kept boolean"
+    return extend(docs, ["text"], judge, columns, keep=keep, most=256)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from .common import table, work_dir
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.apply(docs, model, keep=["doc_id"]).select("doc_id", *quality_rules.BASE, "base_failed", "kept", "probability")
+    judged = quality_rules.apply(docs, model, keep=["doc_id"])
+    return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "probability")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +34,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_filter.apply(pages.select("page_id", "url"), url_filter.fit(pages), keep=["page_id"]).select("page_id", "host", "path", "rule", "verdict", "reject_probability")
+    return url_filter.apply(pages.select("page_id", "url"), url_filter.fit(pages), keep=["page_id"])
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +48,9 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.apply(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    """The key comes from ``spark.foliograph.piiKey``; without it pseudonyms have a random one that nobody keeps."""
+    key = spark.conf.get("spark.foliograph.piiKey", None)
+    return pii.apply(table(spark, sf_dir, "documents"), key.encode() if key else secrets.token_bytes(32), keep=["doc_id"])
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,10 +63,48 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_packing, op4_token_files, op5_url_filter, op6_ngram_join, op7_quality_classifier, op8_pii, op9_language, op10_line_dedup)}
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1 counts before its model has a say; SQL can express this part."""
+    judged = quality_rules.apply(table(spark, sf_dir, "documents"), quality_rules.constant(), keep=["doc_id"])
+    return judged.select("doc_id", *quality_rules.BASE, "base_failed")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5's rules say of every page; SQL can express this part."""
+    return url_filter.located(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "said")
+
+
+_OPERATORS = (
+    op1_quality_rules, op2_decontamination, op3_packing, op4_token_files, op5_url_filter,
+    op6_ngram_join, op7_quality_classifier, op8_pii, op9_language, op10_line_dedup,
+)
+QUERIES = {f.__name__: f for f in (*_OPERATORS, quality_base_counts, url_rules)}
 
-#: DuckDB's form of the two operators that SQL can express; the others are tested against brute force in tests/llm.
+#: DuckDB's form of what SQL can express; the others are tested against brute force in tests/llm.
 ORACLE_SQL = {
+    "quality_base_counts": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+g AS (
+  SELECT r, i, [w[i], w[i + 1], w[i + 2]] AS window_ FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, window_) AS n FROM g) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT i + o) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS o) GROUP BY r),
+l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+c AS (
+  SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN lines USING (r) LEFT JOIN covered USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c""",
+    "url_rules": r"""
+WITH p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
+rules AS (SELECT * FROM (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) AS t (h, start, said)),
+fits AS (
+  SELECT page_id, max_by(h || start, length(h || start)) AS rule, max_by(said, length(h || start)) AS said
+  FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, start) GROUP BY page_id)
+SELECT p.page_id, host, path, rule, said FROM p LEFT JOIN fits ON fits.page_id = p.page_id""",
     "op6_ngram_join": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

@@ -135,11 +135,19 @@ def stream_documents(folder: str, part: int):
                 yield doc_id, start, got[0] if len(got) == 1 else np.concatenate(got)
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, length: int = LENGTH, batch: int = BATCH, end_id: int = END_ID, parts: int | None = None) -> list[tuple[int, int, int, int]]:
+def write(
+    docs: DataFrame,
+    folder: str,
+    tokenizer_path: str | None = None,
+    length: int = LENGTH,
+    batch: int = BATCH,
+    end_id: int = END_ID,
+    parts: int | None = None,
+) -> list[tuple[int, int, int, int]]:
     """Encode every text and write the parts in ascending doc_id order; returns (part, documents, ids, sequences) each.
 
-    Null ids come first, rows with one id follow by text hash and text; null and empty texts hold the end id alone; an empty
-    table writes only the manifest. The driver gets one row per part. ``folder`` has to be storage that all share.
+    Null ids come first, rows with one id follow by text hash and text; null and empty texts hold the end id alone, very
+    long ones cross as many sequences as they need; further columns are not read; an empty table writes only the manifest. The driver gets one row per part. ``folder`` has to be storage that all share.
     """
     path = tokenizer_path or default_path()
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -159,11 +167,15 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, lengt
                     writer.add(doc_id, enc.document(text, end_id))
         if writer:
             done = writer.close()
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(done, (pa.int32(), *[pa.int64()] * 3))], names=["part", "n_docs", "n_tokens", "n_sequences"])
+            columns = [pa.array([v], t) for v, t in zip(done, (pa.int32(), *[pa.int64()] * 3))]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "n_docs", "n_tokens", "n_sequences"])
 
     done = sorted(tuple(r) for r in dealt.mapInArrow(run, PARTS_SCHEMA).collect())
     fs, local = _open(folder)
     fs.create_dir(local, recursive=True)
+    for left in fs.get_file_info(pafs.FileSelector(local)):  # by attempts that failed or came second
+        if left.base_name.startswith("_attempt-"):
+            fs.delete_file(left.path)
     with fs.open_output_stream(f"{local}/manifest.json") as out:
         out.write(json.dumps({"length": length, "batch": batch, "end_id": end_id, "parts": done}).encode())
     return done
@@ -181,6 +193,9 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     listing = spark.createDataFrame(rows, "part int, base long")
     listing = listing.repartition(len(rows), "part") if rows else listing
 
+    def listed(cols):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
     def run(batches):
         for batch in batches:
             for part, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -188,6 +203,9 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
                 for doc_id, start, ids in stream_documents(folder, part):
                     for c, v in zip(cols, (doc_id, before + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))):
                         c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    if len(cols[0]) >= 10_000:
+                        yield listed(cols)
+                        cols = [[], [], [], []]
+                yield listed(cols)
 
     return listing.mapInArrow(run, DIGEST_SCHEMA)

@@ -13,12 +13,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import class_weights, platt, stored
+from .common import class_weights, platt, stored, unused
 
 #: (host and path prefix, verdict) in order.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Hosts holding one of these words count as rejected when learning (a parameter; rules come first). A URL that neither a
-#: rule nor a word decides counts as accepted: most of the web is, and one that is not stands out all the same.
+#: Hosts holding one of these words count as rejected when learning (a parameter). Others count as accepted unless a rule
+#: blocks them: most of the web is, and one that is not stands out all the same. What rules block without such a word says
+#: nothing of the rest (rules block by country or language), so it is not learned from.
 SEEDS = ("adult", "bets", "casino", "ads-", "pills", "porn", "spam", "viagra", "xxx")
 #: Longest context of the Markov models and weight of the shorter context.
 ORDER, BACK_OFF = 4, 2.0
@@ -140,23 +141,36 @@ def _differences(urls: DataFrame, model: UrlModel) -> DataFrame:
     return urls.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(add_up, "rid long, difference double")
 
 
-def _parts(pages: DataFrame, rules, seeds) -> DataFrame:
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
+def judged_of(url: Column) -> Column:
+    """What the models judge: the whole url after its ``://`` with the host lower-cased, or all of a url without one."""
+    tail = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(.*)$", 1)
+    return F.coalesce(F.when(url.contains("://"), F.concat(host_of(url), tail)).otherwise(url), F.lit(""))
+
+
+def located(pages: DataFrame, rules=RULES, said: str = "said") -> DataFrame:
+    """Add ``host``, ``path`` and ``rule`` to ``pages``, and the rule's verdict as ``said``."""
+    parts = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    parts = pages.withColumn("host", host).withColumn("path", path).withColumn("rule", rule).withColumn("__said", verdict)
+    return parts.withColumn("rule", rule).withColumn(said, verdict)
+
+
+def _labelled(pages: DataFrame, rules, seeds) -> DataFrame:
+    """(u, k): the judged part of every url that is learned from, and 1 if it counts as rejected, else 0."""
     seeded = F.lit(False)
     for word in seeds:
         seeded = seeded | F.col("host").contains(word)
-    return parts.withColumn("__class", F.when(F.col("__said") == "block", 1).when(F.col("__said") == "allow", 0).when(seeded, 1).when(F.col("host") != "", 0))
+    k = F.when(seeded, 1).when((F.col("host") != "") & ~F.col("said").eqNullSafe("block"), 0)
+    parts = located(pages.select("url"), rules).select(judged_of(F.col("url")).cast("binary").alias("u"), k.cast("int").alias("k"))
+    return parts.where(F.col("k").isNotNull())
 
 
 def fit(pages: DataFrame, rules=RULES, seeds=SEEDS) -> UrlModel:
-    """Count the grams of all URLs with a host, as accepted or rejected, but for the rows that calibrate.
+    """Count the grams of all URLs with a class (see ``SEEDS``), as accepted or rejected, but for the rows that calibrate.
 
     Those are at most ``CALIBRATION`` of each class, from a fifth by crc32. Tasks add up their own counts before the
     shuffle; the driver gets the counts of two bytes only.
     """
-    known = _parts(pages.select("url"), rules, seeds).where(F.col("__class").isNotNull()).select(F.concat("host", "path").cast("binary").alias("u"), F.col("__class").cast("int").alias("k"))
+    known = _labelled(pages, rules, seeds)
     held = known.where(F.crc32("u") % 5 == 0)
     sample = [(bytes(r["u"]), r["k"]) for k in (0, 1) for r in held.where(F.col("k") == k).orderBy(F.xxhash64("u"), "u").limit(CALIBRATION).collect()]
 
@@ -196,19 +210,20 @@ def fit(pages: DataFrame, rules=RULES, seeds=SEEDS) -> UrlModel:
 def apply(pages: DataFrame, model: UrlModel, rules=RULES, keep: list[str] | None = None, block_at: float = BLOCK_AT) -> DataFrame:
     """Add ``host``, ``path``, ``rule``, ``verdict`` and ``reject_probability`` to ``pages``.
 
-    A null url or one without ``://`` has empty host and path and no rule, and the method blocks it. Rows are judged one
-    by one: null ids, ties, repeated rows, long urls and further columns pass through; columns with the names of new ones
-    are replaced. The rows are written once, numbered, so that their scores can be joined to them.
+    A null url or one without ``://`` has empty host and path and no rule; a null or empty one says nothing for itself, and
+    the method blocks it. Rows are judged one by one: null ids, ties, repeated rows, very long urls and further columns pass
+    through, whatever their names; columns with the names of new ones are replaced; an empty table stays empty. The rows are
+    written once, numbered, so that their scores can be joined to them.
     """
-    parts = _parts(pages, rules, ()).drop("__class", "reject_probability", "verdict")
-    if keep is not None:
-        parts = parts.select(*[F.col(f"`{c}`") for c in parts.columns if c in {*keep, "host", "path", "rule", "__said"}])
-    parts = stored(parts.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
-    u = F.concat("host", "path")
-    urls = parts.where(u != "").select(F.col("__rid").alias("rid"), u.cast("binary").alias("u"))
+    new = ("host", "path", "rule", "verdict", "reject_probability")
+    own = [c for c in pages.columns if c.lower() not in new and (keep is None or c in keep)]
+    rid, u, said = unused(pages, "rid", "judged", "said")
+    parts = located(pages, rules, said).withColumn(u, judged_of(F.col("url")).cast("binary"))
+    parts = stored(parts.select(*(F.col(f"`{c}`") for c in own), "host", "path", "rule", u, said, F.monotonically_increasing_id().alias(rid)), "numbered")
+    urls = parts.where(F.length(u) > 0).select(F.col(rid).alias("rid"), F.col(u).alias("u"))
     z = F.lit(model.slope) * F.col("difference") + F.lit(model.shift)
     z = F.when(z > 30, 30.0).when(z < -30, -30.0).otherwise(z)
-    scored = parts.join(_differences(urls, model).withColumnRenamed("rid", "__rid").hint("merge"), "__rid", "left")
-    # A URL without host and path says nothing for itself and is rejected.
-    scored = scored.withColumn("reject_probability", F.coalesce(1 / (1 + F.exp(-z)), F.lit(1.0)))
-    return scored.withColumn("verdict", F.coalesce("__said", F.when(F.col("reject_probability") >= block_at, "block").otherwise("allow"))).drop("__said", "__rid", "difference")
+    scores = _differences(urls, model).select(F.col("rid").alias(rid), (1 / (1 + F.exp(-z))).alias("reject_probability"))
+    scored = parts.join(scores.hint("merge"), rid, "left").withColumn("reject_probability", F.coalesce("reject_probability", F.lit(1.0)))
+    verdict = F.coalesce(said, F.when(F.col("reject_probability") >= block_at, "block").otherwise("allow"))
+    return scored.withColumn("verdict", verdict).select(*(F.col(f"`{c}`") for c in own), *new)
