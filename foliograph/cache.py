@@ -8,35 +8,35 @@ import uuid
 from pathlib import Path
 
 from .engine import cache_home
-from .sources.workspace import CONFIG, FOLDER
+from .sources.workspace import CONFIG, FOLDER, mount_points
 
 
 def _size(folder: Path) -> int:
     return sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
 
 
-def _state(root: str | None) -> str:
-    """live: the workspace is there; orphaned: it is gone; unreachable: a parent is gone too, as with a drive that is not
-    mounted; unknown: the index does not say whose it is."""
+def _state(root: str | None, mount: str | None, mounts: list[str]) -> str:
+    """live: the workspace is there; orphaned: it is gone; unreachable: what it was mounted on is not mounted; unknown: the
+    index does not say whose it is."""
     if not root:
         return "unknown"
-    at = Path(root)
-    if (at / FOLDER / CONFIG).is_file():
+    if (Path(root) / FOLDER / CONFIG).is_file():
         return "live"
-    return "orphaned" if at.exists() or at.parent.exists() else "unreachable"
+    return "unreachable" if mount and mount not in mounts else "orphaned"
 
 
 def listing(home: Path | None = None) -> list[dict]:
     """Indexes by root, those without one last."""
-    home, out = home or cache_home(), []
+    home, out, mounts = home or cache_home(), [], mount_points()
     for folder in sorted(home.iterdir()) if home.is_dir() else []:
         if not folder.is_dir():
             continue
         try:
-            root = json.loads((folder / "current.json").read_text()).get("root")
+            meta = json.loads((folder / "current.json").read_text())
         except (OSError, ValueError):
-            root = None
-        out.append({"folder": str(folder), "root": root, "state": _state(root), "bytes": _size(folder)})
+            meta = {}
+        root = meta.get("root")
+        out.append({"folder": str(folder), "root": root, "state": _state(root, meta.get("mount"), mounts), "bytes": _size(folder)})
     return sorted(out, key=lambda x: (x["root"] is None, x["root"] or x["folder"]))
 
 

@@ -118,6 +118,8 @@ def _run(a, spark, cwd: str) -> int:
         rows = [r.asDict() for r in engine.backrefs(a.path, a.link_kind, a.from_, a.transitive).collect()]
         _emit(rows, "files" if a.transitive else "links", a.json, lambda r: r["path"] if a.transitive else f"{r['source']}:{r['line']}  {r['raw']}")
     elif a.command == "lint":
+        for said in engine.warnings():
+            print(f"foliograph: {said}", file=sys.stderr)
         rows = [r.asDict(recursive=True) for r in engine.lint(a.rule or None).collect()]
         _emit(rows, "findings", a.json, lambda r: f"{r['path']}{':' + str(r['line']) if r['line'] else ''}: {r['rule']}: {r['message']}")
         return 1 if rows else 0

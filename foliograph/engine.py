@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions.paths import glob_filter, nfd_text
 from .operators import find as finding
 from .operators import links as graph
-from .operators import lint, search
+from .operators import lint
 from .plans.ingest import Index
 from .sources.workspace import Workspace
 
@@ -22,7 +22,8 @@ def cache_home() -> Path:
 
 
 def index_folder(root: Path) -> Path:
-    """Where a workspace's index is: a folder named by the hash of its root."""
+    """Where a workspace's index is by default: a folder named by the hash of its root. Give an ``Engine`` a URI to keep the
+    index on storage that a cluster shares."""
     return cache_home() / hashlib.sha256(str(root).encode()).hexdigest()
 
 
@@ -54,20 +55,24 @@ class Engine:
         return finding.status(self.files).first().asDict() | {"links": self.links.count(), "root": str(self.workspace.root)}
 
     def find(self, options: finding.FindOptions = finding.FindOptions()) -> tuple[DataFrame, bool]:
-        """The kept rows in order, with title (and snippet under a query), and whether the limit left some out."""
-        docs = self.index.table("search_docs").select("path", F.nullif("title", F.lit("")).alias("title"))
+        """The kept rows in order, with title (and snippet under a query), and whether the limit left some out.
+
+        With a limit the plan runs once: its rows, one more than the limit at most, are what is decorated.
+        """
         indexed = self.index.search_index() if options.query else None
-        tokenizer = self.index.meta.get("tokenizer", "porter")
-        rows = finding.find(self.files, self.links, options, indexed, tokenizer)
-        truncated = options.cap is not None and rows.count() > options.cap
+        rows, truncated = finding.find(self.files, self.links, options, indexed), False
+        docs = self.index.table("search_docs")
         if options.cap is not None:
-            rows = rows.limit(options.cap)
-        order = ["score", "path"] if options.query else ["path"]
+            got = rows.collect()
+            truncated = len(got) > options.cap
+            rows = self.spark.createDataFrame(got[: options.cap], rows.schema)
+            docs = docs.where(F.col("path").isin([r["path"] for r in got[: options.cap]]))
         if options.query:
-            rows = search.with_snippets(rows, indexed, options.query, tokenizer)
+            rows = indexed.with_snippets(rows, options.query)
         else:
-            rows = rows.join(docs, "path", "left").withColumn("snippet", F.lit(None).cast("string"))
-        return rows.orderBy(*order), truncated
+            titles = docs.select("path", F.nullif("title", F.lit("")).alias("title"))
+            rows = rows.join(titles, "path", "left").withColumn("snippet", F.lit(None).cast("string"))
+        return rows.orderBy(*(["score", "path"] if options.query else ["path"])), truncated
 
     def _known(self, path: str) -> str:
         key = self.workspace.key_of(path)
@@ -94,8 +99,15 @@ class Engine:
             return graph.transitive_backrefs(self.links, self.files, key, link_kind, self._sources(sources))
         return graph.backrefs(self.links, key, link_kind, self._sources(sources))
 
+    def warnings(self) -> list[str]:
+        """What ``lint`` warns of: bundles are listed, but none declares its version."""
+        if self.workspace.config.bundles and not self.index.meta.get("okf"):
+            return ["no bundle in bundles declares okf_version in its root index.md, so there is no OKF bundle to check"]
+        return []
+
     def lint(self, rules: list[str] | None = None) -> DataFrame:
         files, links = self.files, self.links
         okf = self.index.meta.get("okf", [])
-        worked = [lint.index_entries(self.index.table("index_entries"), files, self.index.table("search_docs")).unionByName(lint.unlisted(files, links, okf)), lint.broken_links(links, files), lint.frontmatter_syntax(files)]
+        entries = lint.index_entries(self.index.table("index_entries"), files, self.index.table("search_docs"))
+        worked = [entries.unionByName(lint.unlisted(files, links, okf)), lint.broken_links(links, files), lint.frontmatter_syntax(files)]
         return lint.merged(self.index.table("findings"), worked, self.workspace.config.off, rules)

@@ -57,6 +57,11 @@ def glob_filter(path_nfd: Column, globs: list[str]) -> Column:
     return keep & ~_any(path_nfd, no) if no else keep
 
 
+def covered(path_nfd: Column, globs: list[str]) -> Column:
+    """Whether a glob matches a path or a folder that holds it."""
+    return _any(path_nfd, [glob_to_regex(g).removesuffix(r"\z") + r"(?:/.*)?\z" for g in globs])
+
+
 def glob_matches(path: str, globs: list[str]) -> bool:
     """``glob_filter`` for one path on the driver."""
     p = nfd_text(path)

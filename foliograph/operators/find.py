@@ -69,14 +69,14 @@ def filters(files: DataFrame, links: DataFrame | None, options: FindOptions) ->
     return out
 
 
-def find(files: DataFrame, links: DataFrame | None, options: FindOptions, indexed: DataFrame | None = None, tokenizer: str = "porter") -> DataFrame:
+def find(files: DataFrame, links: DataFrame | None, options: FindOptions, indexed: ranked.SearchIndex | None = None) -> DataFrame:
     """The rows a search or listing keeps, one more than the limit at most: the extra row tells that it truncates."""
     kept = filters(files, links, options)
     names = [f.strip() for f in ",".join(options.fields).split(",") if f.strip()]
     shown = [F.when(F.col("parse_error").isNull(), project_field(F.col("frontmatter"), f)).alias(f"field:{f}") for f in dict.fromkeys(names)]
     if options.query:
         # Statistics come from the whole index: filters follow the ranking.
-        kept = ranked.search(indexed, options.query, tokenizer).join(kept, "path")
+        kept = indexed.search(options.query).join(kept, "path")
         order, cap = ["score", "path"], options.cap
     else:
         order, cap = ["path"], options.cap

@@ -8,47 +8,49 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import ancestors, folder_of, glob_filter
+from ..functions.paths import ancestors, covered, folder_of
 from . import links as graph
 
-STORED = ("okf-type", "okf-index-frontmatter", "okf-log-date", "okf-source-resource", "okf-footnote", "okf-timestamp", "okf-actor", "okf-status", "okf-version")
+# The names of the rules, and in the functions below their messages.
+STORED = (
+    "okf-type", "okf-index-frontmatter", "okf-log-date", "okf-source-resource", "okf-footnote", "okf-timestamp", "okf-actor", "okf-status",
+    "okf-version",
+)
 WORKED = ("okf-index", "broken-link", "frontmatter-syntax")
 RULES = STORED + WORKED
 COLUMNS = ("path", "rule", "line", "message", "related", "ord")
 
-# What is accepted as a datetime with an offset, and as an actor.
-DATETIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9](\.[0-9]+)?)?(Z|[+-]([01][0-9]|2[0-3])(:?[0-5][0-9])?)\z"
-ACTOR = r"^((human|process):\S+|[^\s/:]+/\S+)\z"
-
-
 def match_rules(patterns: list[str] | None, rules=RULES) -> list[str]:
-    """The rules that patterns (``*`` for any text) name; all without patterns."""
+    """The rules that patterns (``*`` for any text) name, all without patterns. Every pattern has to name one."""
     if not patterns:
         return list(rules)
-    tests = [re.compile(re.escape(p).replace(r"\*", ".*") + r"\Z") for p in patterns]
-    named = [r for r in rules if any(t.match(r) for t in tests)]
-    if not named:
-        raise ValueError(f"no rule matches {', '.join(patterns)}")
-    return named
-
-
-def suppressed(rule: Column, path_nfd: Column, off) -> Column:
-    """Whether an entry of ``lint.off`` (rules, globs; none of either means all) covers a finding."""
+    named: set[str] = set()
+    for pattern in patterns:
+        own = re.compile(".*".join(re.escape(piece) for piece in pattern.split("*")))
+        found = {r for r in rules if own.fullmatch(r)}
+        if not found:
+            raise ValueError(f"no rule matches {pattern}")
+        named |= found
+    return [r for r in rules if r in named]
+
+
+def suppressed(rule: Column, path_nfd: Column, off, named: bool = False) -> Column:
+    """Whether an entry of ``lint.off`` (rules, globs; none of either means all) covers a finding.
+
+    A glob that matches a folder covers all that is below it. Where the rules to check are ``named``, entries with rules do
+    not count: who asks for a rule gets it.
+    """
     tests = []
     for rules, globs in off:
+        if named and rules:
+            continue
         test = rule.isin(*match_rules(list(rules))) if rules else F.lit(True)
-        tests.append(test & glob_filter(path_nfd, list(globs)) if globs else test)
+        if globs:
+            test = test & covered(path_nfd, list(globs))
+        tests.append(test)
     return reduce(lambda x, y: x | y, tests) if tests else F.lit(False)
 
 
-def is_datetime(text: Column) -> Column:
-    return F.coalesce(text.rlike(DATETIME) & F.try_to_timestamp(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")).isNotNull(), F.lit(False))
-
-
-def is_actor(text: Column) -> Column:
-    return F.coalesce(text.rlike(ACTOR), F.lit(False))
-
-
 def broken_links(links: DataFrame, files: DataFrame) -> DataFrame:
     lost = graph.broken(links, files)
     message = F.concat(F.col("raw"), F.lit(" -> "), F.coalesce("target", F.lit("outside the workspace")))
@@ -115,5 +117,5 @@ def merged(stored: DataFrame, worked: list[DataFrame], off=(), rules: list[str]
         out = out.unionByName(df.select(*COLUMNS).withColumn("__group", F.lit(k)))
     out = out.where(F.col("rule").isin(*wanted))
     if off:
-        out = out.where(~suppressed(F.col("rule"), nfd("path"), off))
+        out = out.where(~suppressed(F.col("rule"), nfd("path"), off, named=bool(rules)))
     return out.orderBy("path", F.coalesce("line", F.lit(0)), "__group", "ord").select("path", "rule", "line", "message", "related")

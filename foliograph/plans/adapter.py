@@ -59,6 +59,36 @@ def conversation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(at(F.col("turn")).alias("source"), F.lit(0).alias("ord"), F.lit(1).alias("line"), F.lit("body").alias("kind"), F.lit("path").alias("type"), F.concat((F.col("turn") - 1).cast("string"), F.lit(".md")).alias("raw"), goal.alias("target"), goal.alias("target_nfd"), F.lit("prev").alias("text"))
 
 
+def _links(df: DataFrame, source, raw, target, line: int = 1) -> DataFrame:
+    none = F.lit(None).cast("string")
+    out = df.select(source.alias("source"), F.lit(0).alias("ord"), F.lit(line).alias("line"), F.lit("body").alias("kind"), raw.alias("raw"), target.alias("target"), none.alias("text"))
+    return out.select("source", "ord", "line", "kind", classify(F.col("raw")).alias("type"), "raw", "target", F.col("target").alias("target_nfd"), "text")
+
+
+def order_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One link an order: to its customer, or by key to a missing one, a folder, a URL, out of the workspace or an anchor."""
+    k, c = F.col("o_orderkey") % 10, F.col("o_custkey").cast("string")
+    missing = F.concat(F.lit("../customer/"), (F.col("o_custkey") + 1_000_000_000).cast("string"), F.lit(".md"))
+    raw = (
+        F.when(k == 0, missing)
+        .when(k == 1, "../nation")
+        .when(k == 2, F.concat(F.lit("https://x.org/"), c))
+        .when(k == 3, F.concat(F.lit("../../"), c, F.lit(".md")))
+        .when(k == 4, F.concat(F.lit("#"), c))
+        .otherwise(F.concat(F.lit("/customer/"), c, F.lit(".md")))
+    )
+    target = F.when(classify(raw) == "path", resolve(raw, F.lit("orders")))
+    source = F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string"), F.lit(".md"))
+    return _links(read(spark, sf_dir, "orders"), source, raw, target)
+
+
+def nation_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every nation links to the next one, the last to the first."""
+    at = lambda k: F.concat(F.lit("nation/"), k.cast("string"), F.lit(".md"))
+    goal = at((F.col("n_nationkey") + 1) % 25)
+    return _links(read(spark, sf_dir, "nation"), at(F.col("n_nationkey")), F.concat(F.lit("/"), goal), goal)
+
+
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(read(spark, sf_dir, "pages"), "pages", "page_id", "url")
 
