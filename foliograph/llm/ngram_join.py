@@ -43,9 +43,9 @@ POINT_BYTES = GROUPS + 4
 #: Points in a leaf of the R-tree, and leaves or nodes under a node.
 LEAF, FAN_OUT = 32, 8
 #: Points of a cell that the first round searches in full, and points of a tile (a larger cell is dealt out).
-SMALL, TILE = 8, 8192
+SMALL, TILE = 8, 4096
 #: Rows from which the finished groups of a task are indexed together.
-TREE_ROWS = 16_384
+TREE_ROWS = 8192
 #: Documents sampled for the order of shingles, sampled documents from which a shingle counts as frequent, and such shingles.
 ORDER_SAMPLE, FREQUENT, MOST_FREQUENT = 4000, 3, 200_000
 
@@ -353,7 +353,10 @@ def classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> Data
     for turn in (2, 3):
         groups = stored(connected(links), f"groups{turn}", folder)
         placed = large.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+        several = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        several = stored(several.select("token"), f"several{turn}", folder)
+        if not several.take(1):
+            break
         found = stored(_candidates(placed.join(several, "token", "left_semi"), nodes, percent, turn), f"found{turn}", folder)
         new = stored(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), f"tried{turn}", folder)
         more = _verified(new, docs, percent, words, folder, f"round{turn}")
