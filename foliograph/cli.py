@@ -106,8 +106,16 @@ def _run(a, spark, cwd: str) -> int:
         for r in df.collect():
             d = r.asDict(recursive=True)
             fields = {k[6:]: json.loads(v) for k in list(d) if k.startswith("field:") and (v := d.pop(k)) is not None}
-            rows.append({"path": d["path"], "kind": d["kind"], "size": d["size"], "modified": d["mtime"], "title": d.get("title"), "parse_error": d["parse_error"], "snippet": d.get("snippet"), **({"fields": fields} if a.field_ else {})})
-        _emit(rows, "files", a.json, lambda r: "  ".join([r["path"], *([r["parse_error"]] if a.errors else []), *(f"{k}={v if isinstance(v, str) else json.dumps(v)}" for k, v in r.get("fields", {}).items())]) + (f"\n    {r['snippet']}" if r["snippet"] else ""), truncated=truncated)
+            row = {"path": d["path"], "kind": d["kind"], "size": d["size"], "modified": d["mtime"], "title": d.get("title")}
+            row |= {"parse_error": d["parse_error"], "snippet": d.get("snippet")}
+            rows.append(row | ({"fields": fields} if a.field_ else {}))
+
+        def line(r: dict) -> str:
+            shown = [f"{k}={v if isinstance(v, str) else json.dumps(v)}" for k, v in r.get("fields", {}).items()]
+            first = "  ".join([r["path"], *([r["parse_error"]] if a.errors else []), *shown])
+            return first + (f"\n    {r['snippet']}" if r["snippet"] else "")
+
+        _emit(rows, "files", a.json, line, truncated=truncated)
         if truncated and not a.json:
             print(f"foliograph: showing the first {options.cap} files; --limit raises the cap", file=sys.stderr)
     elif a.command == "show":
@@ -126,5 +134,9 @@ def _run(a, spark, cwd: str) -> int:
     return 0
 
 
+def main() -> int:
+    return run(sys.argv[1:])
+
+
 if __name__ == "__main__":
-    sys.exit(run(sys.argv[1:]))
+    sys.exit(main())

@@ -33,6 +33,8 @@ class NotIndexed(ValueError):
 
 class Engine:
     def __init__(self, spark: SparkSession, workspace: Workspace, folder: str | os.PathLike | None = None):
+        if folder is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster an index needs a folder that the driver and all executors share")
         self.spark, self.workspace = spark, workspace
         self.index = Index(spark, workspace, folder or index_folder(workspace.root))
 

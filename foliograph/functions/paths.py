@@ -94,8 +94,13 @@ def resolve(raw: Column, base: Column, bundle: Column | None = None) -> Column:
     joined = F.when(path.startswith("/"), F.concat_ws("/", root, path)).otherwise(F.concat_ws("/", base, path))
     steps = F.filter(F.split(joined, "/"), lambda x: (x != "") & (x != "."))
     start = F.array().cast("array<string>")
-    folded = F.aggregate(steps, start, lambda acc, x: F.when(x != "..", F.concat(acc, F.array(x))).when(F.size(acc) > 0, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.lit(None).cast("array<string>")), lambda acc: F.array_join(acc, "/"))
-    return folded
+
+    def step(held: Column, x: Column) -> Column:
+        up = F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))
+        above = F.lit(None).cast("array<string>")
+        return F.when(x != "..", F.concat(held, F.array(x))).when(F.size(held) > 0, up).otherwise(above)
+
+    return F.aggregate(steps, start, step, lambda held: F.array_join(held, "/"))
 
 
 def percent_decode(s: str) -> str:

@@ -86,4 +86,6 @@ def find(files: DataFrame, links: DataFrame | None, options: FindOptions, indexe
 
 def status(files: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """Counts of files, pages, others and parse errors in one pass."""
-    return files.agg(F.count("*").alias("files"), F.count_if(F.col("kind") == "markdown").alias("pages"), F.count_if(F.col("kind") != "markdown").alias("other"), F.count_if(F.col("parse_error").isNotNull()).alias("errors"))
+    is_page = F.col("kind") == "markdown"
+    kinds = (F.count("*").alias("files"), F.count_if(is_page).alias("pages"), F.count_if(~is_page).alias("other"))
+    return files.agg(*kinds, F.count_if(F.col("parse_error").isNotNull()).alias("errors"))

@@ -51,6 +51,18 @@ def suppressed(rule: Column, path_nfd: Column, off, named: bool = False) -> Colu
     return reduce(lambda x, y: x | y, tests) if tests else F.lit(False)
 
 
+def _finding(rule: str, message: Column) -> tuple[Column, ...]:
+    """The columns of a finding on no line and with no related file."""
+    none = F.array().cast("array<string>")
+    return (
+        F.lit(rule).alias("rule"),
+        F.lit(None).cast("int").alias("line"),
+        message.alias("message"),
+        none.alias("related"),
+        F.lit(0).alias("ord"),
+    )
+
+
 def broken_links(links: DataFrame, files: DataFrame) -> DataFrame:
     lost = graph.broken(links, files)
     message = F.concat(F.col("raw"), F.lit(" -> "), F.coalesce("target", F.lit("outside the workspace")))
@@ -60,12 +72,13 @@ def broken_links(links: DataFrame, files: DataFrame) -> DataFrame:
 
 def frontmatter_syntax(files: DataFrame) -> DataFrame:
     bad = files.where("parse_error IS NOT NULL")
-    return bad.select("path", F.lit("frontmatter-syntax").alias("rule"), F.lit(None).cast("int").alias("line"), F.col("parse_error").alias("message"), F.array().cast("array<string>").alias("related"), F.lit(0).alias("ord"))
+    return bad.select("path", *_finding("frontmatter-syntax", F.col("parse_error")))
 
 
 def lookup_exact_first(entries: DataFrame, files: DataFrame, target: str = "target", target_nfd: str = "target_nfd") -> DataFrame:
     """Each entry's file: that of the same spelling if there is one, else the first of the canonically equal ones."""
-    found = entries.join(files.select(F.col("path").alias("file_path"), F.col("path_nfd").alias(target_nfd), F.col("kind").alias("file_kind"), F.col("parse_error").alias("file_error")), target_nfd, "left")
+    named = {"path": "file_path", "path_nfd": target_nfd, "kind": "file_kind", "parse_error": "file_error"}
+    found = entries.join(files.select(*(F.col(c).alias(name) for c, name in named.items())), target_nfd, "left")
     order = Window.partitionBy("path", "ord").orderBy((F.col("file_path") == F.col(target)).desc_nulls_last(), "file_path")
     return found.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
@@ -91,7 +104,7 @@ def index_entries(entries: DataFrame, files: DataFrame, docs: DataFrame) -> Data
 def unlisted(files: DataFrame, links: DataFrame, bundles: list[str]) -> DataFrame:
     """Pages of OKF bundles that no ``index.md`` above them, up to the bundle's root, links to."""
     if not bundles:
-        return files.select("path", F.lit("").alias("rule"), F.lit(0).alias("line"), F.lit("").alias("message"), F.array().cast("array<string>").alias("related"), F.lit(0).alias("ord")).where(F.lit(False))
+        return files.select("path", *_finding("okf-index", F.lit(""))).where(F.lit(False))
     root = F.lit("")
     for b in sorted(bundles, key=len):
         root = F.when(F.col("path").startswith(b + "/"), F.lit(b)).otherwise(root)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import classify, folder_of, resolve
@@ -14,26 +14,44 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _files(df: DataFrame, folder: str, key, *columns: str) -> DataFrame:
-    path = F.concat(F.lit(f"{folder}/"), F.col(key).cast("string"), F.lit(".md"))
-    return df.select(path.alias("path"), path.alias("path_nfd"), F.lit("markdown").alias("kind"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("frontmatter"), F.lit(None).cast("string").alias("parse_error"))
+def at(folder: str, key: Column, ending: str = ".md") -> Column:
+    """The path of a row: its key as a file of a folder."""
+    return F.concat(F.lit(f"{folder}/"), key.cast("string"), F.lit(ending))
+
+
+def _none() -> Column:
+    return F.lit(None).cast("string")
+
+
+def _as_files(df: DataFrame, path: Column, frontmatter: Column, kind: str = "markdown") -> DataFrame:
+    columns = (path.alias("path"), path.alias("path_nfd"), F.lit(kind).alias("kind"), frontmatter.alias("frontmatter"))
+    return df.select(*columns, _none().alias("parse_error"))
+
+
+def _files(df: DataFrame, folder: str, key: str, *columns) -> DataFrame:
+    return _as_files(df, at(folder, F.col(key)), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
 
 
 def entity_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions, nations, customers and suppliers as pages, embeddings as other files."""
+    named = lambda prefix, *more: [F.col(f"{prefix}_{c}").alias(name) for c, name in (("name", "name"), *more)]
     r = lambda n: read(spark, sf_dir, n)
-    out = _files(r("region"), "region", "r_regionkey", F.col("r_name").alias("name"))
-    out = out.unionByName(_files(r("nation"), "nation", "n_nationkey", F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")))
-    out = out.unionByName(_files(r("customer"), "customer", "c_custkey", F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment")))
-    out = out.unionByName(_files(r("supplier"), "supplier", "s_suppkey", F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance")))
-    e = F.concat(F.lit("embeddings/"), F.col("vec_id").cast("string"), F.lit(".bin"))
-    null = F.lit(None).cast("string")
-    return out.unionByName(r("embeddings").select(e.alias("path"), e.alias("path_nfd"), F.lit("other").alias("kind"), null.alias("frontmatter"), null.alias("parse_error")))
+    out = _files(r("region"), "region", "r_regionkey", *named("r"))
+    out = out.unionByName(_files(r("nation"), "nation", "n_nationkey", *named("n", ("regionkey", "region"))))
+    out = out.unionByName(_files(r("customer"), "customer", "c_custkey", *named("c", ("acctbal", "balance"), ("mktsegment", "segment"))))
+    out = out.unionByName(_files(r("supplier"), "supplier", "s_suppkey", *named("s", ("acctbal", "balance"))))
+    return out.unionByName(_as_files(r("embeddings"), at("embeddings", F.col("vec_id"), ".bin"), _none(), "other"))
+
 
+def _fk(df: DataFrame, folder: str, key: str, target: str, fk: str, kind: str = "frontmatter") -> DataFrame:
+    goal = at(target, F.col(fk))
+    return _linked(df, at(folder, F.col(key)), F.concat(F.lit("/"), goal), goal, kind, 2)
 
-def _fk(df: DataFrame, folder: str, key: str, target: str, fk: str, kind: str = "frontmatter", ord_: int = 0) -> DataFrame:
-    goal = F.concat(F.lit(f"{target}/"), F.col(fk).cast("string"), F.lit(".md"))
-    return df.select(F.concat(F.lit(f"{folder}/"), F.col(key).cast("string"), F.lit(".md")).alias("source"), F.lit(ord_).alias("ord"), F.lit(2).alias("line"), F.lit(kind).alias("kind"), F.lit("path").alias("type"), F.concat(F.lit("/"), goal).alias("raw"), goal.alias("target"), goal.alias("target_nfd"), F.lit(None).cast("string").alias("text"))
+
+def _linked(df: DataFrame, source: Column, raw: Column, target: Column, kind: str, line: int, text: str | None = None) -> DataFrame:
+    """Path links from every row."""
+    first = (source.alias("source"), F.lit(0).alias("ord"), F.lit(line).alias("line"), F.lit(kind).alias("kind"), F.lit("path").alias("type"))
+    return df.select(*first, raw.alias("raw"), target.alias("target"), target.alias("target_nfd"), F.lit(text).cast("string").alias("text"))
 
 
 def entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,27 +60,22 @@ def entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _fk(r("nation"), "nation", "n_nationkey", "region", "n_regionkey")
     out = out.unionByName(_fk(r("customer"), "customer", "c_custkey", "nation", "c_nationkey"))
     out = out.unionByName(_fk(r("supplier"), "supplier", "s_suppkey", "nation", "s_nationkey", kind="body"))
-    folder = F.lit("nation")
-    return out.unionByName(r("region").select(F.concat(F.lit("region/"), F.col("r_regionkey").cast("string"), F.lit(".md")).alias("source"), F.lit(0).alias("ord"), F.lit(4).alias("line"), F.lit("body").alias("kind"), F.lit("path").alias("type"), F.lit("../nation").alias("raw"), folder.alias("target"), folder.alias("target_nfd"), F.lit(None).cast("string").alias("text")))
+    return out.unionByName(_linked(r("region"), at("region", F.col("r_regionkey")), F.lit("../nation"), F.lit("nation"), "body", 4))
+
+
+def _turn(turn: Column) -> Column:
+    return F.concat_ws("/", F.lit("conversations"), F.col("conv_id").cast("string"), F.concat(turn.cast("string"), F.lit(".md")))
 
 
 def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat_ws("/", F.lit("conversations"), F.col("conv_id").cast("string"), F.concat(F.col("turn").cast("string"), F.lit(".md")))
-    return read(spark, sf_dir, "conversations").select(path.alias("path"), path.alias("path_nfd"), F.lit("markdown").alias("kind"), F.to_json(F.struct("role", "turn")).alias("frontmatter"), F.lit(None).cast("string").alias("parse_error"))
+    return _as_files(read(spark, sf_dir, "conversations"), _turn(F.col("turn")), F.to_json(F.struct("role", "turn")))
 
 
 def conversation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn but the first links to the one before it."""
     c = read(spark, sf_dir, "conversations").where("turn > 0")
-    at = lambda t: F.concat_ws("/", F.lit("conversations"), F.col("conv_id").cast("string"), F.concat(t.cast("string"), F.lit(".md")))
-    goal = at(F.col("turn") - 1)
-    return c.select(at(F.col("turn")).alias("source"), F.lit(0).alias("ord"), F.lit(1).alias("line"), F.lit("body").alias("kind"), F.lit("path").alias("type"), F.concat((F.col("turn") - 1).cast("string"), F.lit(".md")).alias("raw"), goal.alias("target"), goal.alias("target_nfd"), F.lit("prev").alias("text"))
-
-
-def _links(df: DataFrame, source, raw, target, line: int = 1) -> DataFrame:
-    none = F.lit(None).cast("string")
-    out = df.select(source.alias("source"), F.lit(0).alias("ord"), F.lit(line).alias("line"), F.lit("body").alias("kind"), raw.alias("raw"), target.alias("target"), none.alias("text"))
-    return out.select("source", "ord", "line", "kind", classify(F.col("raw")).alias("type"), "raw", "target", F.col("target").alias("target_nfd"), "text")
+    before = F.col("turn") - 1
+    return _linked(c, _turn(F.col("turn")), F.concat(before.cast("string"), F.lit(".md")), _turn(before), "body", 1, "prev")
 
 
 def order_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,15 +91,14 @@ def order_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("/customer/"), c, F.lit(".md")))
     )
     target = F.when(classify(raw) == "path", resolve(raw, F.lit("orders")))
-    source = F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string"), F.lit(".md"))
-    return _links(read(spark, sf_dir, "orders"), source, raw, target)
+    out = _linked(read(spark, sf_dir, "orders"), at("orders", F.col("o_orderkey")), raw, target, "body", 1)
+    return out.withColumn("type", classify(F.col("raw")))
 
 
 def nation_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every nation links to the next one, the last to the first."""
-    at = lambda k: F.concat(F.lit("nation/"), k.cast("string"), F.lit(".md"))
-    goal = at((F.col("n_nationkey") + 1) % 25)
-    return _links(read(spark, sf_dir, "nation"), at(F.col("n_nationkey")), F.concat(F.lit("/"), goal), goal)
+    goal = at("nation", (F.col("n_nationkey") + 1) % 25)
+    return _linked(read(spark, sf_dir, "nation"), at("nation", F.col("n_nationkey")), F.concat(F.lit("/"), goal), goal, "body", 1)
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,22 +107,27 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hrefs of web pages as body links, in order."""
-    found = read(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".md")).alias("source"), F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("ord", "raw"))
-    kind = classify(F.col("raw"))
-    typed = found.withColumn("type", kind)
-    target = F.when(F.col("type") == "path", resolve(F.col("raw"), folder_of(F.col("source"))))
-    return typed.withColumn("target", target).select("source", "ord", F.lit(1).alias("line"), F.lit("body").alias("kind"), "type", "raw", "target", F.col("target").alias("target_nfd"), F.lit(None).cast("string").alias("text"))
+    hrefs = F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("ord", "raw")
+    found = read(spark, sf_dir, "pages").select(at("pages", F.col("page_id")).alias("source"), hrefs)
+    found = found.withColumn("type", classify(F.col("raw")))
+    found = found.withColumn("target", F.when(F.col("type") == "path", resolve(F.col("raw"), folder_of(F.col("source")))))
+    fixed = {"line": F.lit(1), "kind": F.lit("body"), "target_nfd": F.col("target"), "text": _none()}
+    return found.withColumns(fixed).select(*LINK_COLUMNS)
+
+
+def document_path() -> Column:
+    return F.concat_ws("/", F.lit("documents"), "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages with their labels; a document without labels lacks those fields."""
-    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), read(spark, sf_dir, "labels")
-    path = F.concat_ws("/", F.lit("documents"), "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
-    tags = F.array(F.col("lang"), F.col("source"))
-    return docs.join(labels, "doc_id", "left").select(path.alias("path"), path.alias("path_nfd"), F.lit("markdown").alias("kind"), F.to_json(F.struct("doc_id", "lang", "n_chars", "quality", "toxic", tags.alias("tags"))).alias("frontmatter"), F.lit(None).cast("string").alias("parse_error"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    tags = F.array(F.col("lang"), F.col("source")).alias("tags")
+    fields = F.to_json(F.struct("doc_id", "lang", "n_chars", "quality", "toxic", tags))
+    return _as_files(docs.join(read(spark, sf_dir, "labels"), "doc_id", "left"), document_path(), fields)
 
 
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents for the search: title the source, description the language, body the text."""
-    path = F.concat_ws("/", F.lit("documents"), "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
-    return read(spark, sf_dir, "documents").select(path.alias("path"), F.col("source").alias("title"), F.col("lang").alias("description"), F.col("text").alias("body"))
+    columns = (F.col("source").alias("title"), F.col("lang").alias("description"), F.col("text").alias("body"))
+    return read(spark, sf_dir, "documents").select(document_path().alias("path"), *columns)

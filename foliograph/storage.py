@@ -49,18 +49,24 @@ class Folder:
         self.fs.delete(self._path(name), True)
 
     def read_text(self, name: str) -> str:
-        rows = self.spark.read.text(self.at(name), wholetext=True).collect()
-        return rows[0][0] if rows else ""
+        source = self.fs.open(self._path(name))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+        finally:
+            source.close()
 
     def write_text(self, name: str, text: str) -> None:
-        """The file is there whole or not at all: it is written aside and renamed."""
+        """Written aside and renamed over what is there in one step, so that readers find the old text or the new one."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
         aside = f".{uuid.uuid4().hex}.tmp"
         out = self.fs.create(self._path(aside), True)
         out.write(bytearray(text.encode()))
         out.close()
-        self.fs.delete(self._path(name), False)
-        if not self.fs.rename(self._path(aside), self._path(name)):
-            raise OSError(f"cannot write {self.at(name)}")
+        context = hadoop.FileContext.getFileContext(self.fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        kinds = getattr(hadoop, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        how[0] = kinds.OVERWRITE
+        context.rename(self.fs.makeQualified(self._path(aside)), self.fs.makeQualified(self._path(name)), how)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write a table and read it back."""

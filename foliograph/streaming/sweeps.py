@@ -20,10 +20,16 @@ LINKS = "source string, ord int, line int, kind string, type string, raw string,
 def page_links(df: DataFrame, settings: pages.Settings = pages.Settings()) -> DataFrame:
     """Links of pages given as (path, text); works on streams as on tables."""
 
+    names = [c.split()[0] for c in LINKS.split(", ")]
+    schema = pa.schema([(n, pa.int32() if n in ("ord", "line") else pa.string()) for n in names])
+
     def parse(batches):
         for batch in batches:
-            rows = [dict(zip(("source", "ord", "line", "kind", "type", "raw", "target", "target_nfd", "text"), (path, k, *x[:5], nfd_text(x[4]), x[5]))) for path, text in zip(*(c.to_pylist() for c in batch.columns)) for k, x in enumerate(pages.parse(path, text or "", settings).links)]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, pa.int32() if n in ("ord", "line") else pa.string()) for n in ("source", "ord", "line", "kind", "type", "raw", "target", "target_nfd", "text")]))
+            rows = []
+            for path, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for k, x in enumerate(pages.parse(path, text or "", settings).links):
+                    rows.append(dict(zip(names, (path, k, *x[:5], nfd_text(x[4]), x[5]))))
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return df.select("path", "text").mapInArrow(parse, LINKS)
 
