@@ -477,7 +477,7 @@ def _workspace(spark, d, keep: str, changed: str = "false", root: str | None = N
                     at.write_bytes(data)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    rows.mapInArrow(put, "n long").agg(F.sum("n")).collect()
+    rows.repartition(spark.sparkContext.defaultParallelism).mapInArrow(put, "n long").agg(F.sum("n")).collect()
     if not Path(root, ".foliograph").exists():
         Workspace.init(root)
     return root
