@@ -188,7 +188,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     totals = {r["label"]: r["n"] for r in lab.groupBy("label").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = [r for k in (0, 1) for r in lab.where(F.col("label") == k).orderBy(*order).limit(per_class).collect()]
-    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["label"]) for r in picked], "doc_id long, label int")
+    # As an Arrow table it is a local relation: from a list the executors would start Python workers of another kind for it.
+    columns = [pa.array([r["doc_id"] for r in picked], pa.int64()), pa.array([r["label"] for r in picked], pa.int32())]
+    ids = docs.sparkSession.createDataFrame(pa.table(columns, ["doc_id", "label"]))
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids), "doc_id")
     return rows, totals
 

@@ -76,8 +76,7 @@ def pack(
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = enc.document(text, end_id)
+                for doc_id, ids in zip(part.column(0).to_pylist(), enc.documents(part.column(1).to_pylist(), end_id)):
                     packed = memoryview(ids.astype("<u4").tobytes())
                     for start, length in decompose(len(ids), longest):
                         piece = packed[4 * start : 4 * (start + length)]

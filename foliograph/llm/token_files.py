@@ -161,10 +161,10 @@ def write(
         for rows in batches:
             for at in range(0, rows.num_rows, 256):
                 part = rows.slice(at, 256)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for doc_id, ids in zip(part.column(0).to_pylist(), enc.documents(part.column(1).to_pylist(), end_id)):
                     if writer is None:
                         writer = PartWriter(folder, context.partitionId(), f"attempt-{context.taskAttemptId()}", enc.dtype, length, batch)
-                    writer.add(doc_id, enc.document(text, end_id))
+                    writer.add(doc_id, ids)
         if writer:
             done = writer.close()
             columns = [pa.array([v], t) for v, t in zip(done, (pa.int32(), *[pa.int64()] * 3))]

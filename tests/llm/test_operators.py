@@ -5,7 +5,7 @@ from datetime import date
 import numpy as np
 import pytest
 
-from foliograph.llm import decontaminate, langid, line_dedup, links, ngram_join, packing, pii, quality_cnn, quality_rules, token_files, tokens, url_filter
+from foliograph.llm import common, decontaminate, langid, line_dedup, links, ngram_join, packing, pii, quality_cnn, quality_rules, token_files, tokens, url_filter
 from foliograph.llm.common import shingle_hashes, word_hashes
 
 DOCS = "doc_id long, text string, score string"
@@ -281,6 +281,33 @@ def test_tokens_packing_and_files(spark, docs, tmp_path):
     assert token_files.read_digests(spark, empty).count() == 0 and packing.pack(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_encoder_keeps_words_that_come_again(monkeypatch):
+    letters = str.maketrans("0123456789", "abcdefghij")
+    rare = [[f"{k:04}{n:04}q".translate(letters) for n in range(100)] for k in range(100)]
+    texts = [" ".join(["common", "Words,", "naïve", *own]) for own in rare]
+    enc, asked = tokens.WordEncoder(tokens.default_path()), []
+    library = enc._library
+    monkeypatch.setattr(enc, "_library", lambda t, words: asked.extend(words) or library(t, words))
+    got = [enc.document(t.encode()).tolist() for t in texts]
+    assert got[0] == library_ids(texts[0]) and got[-1] == library_ids(texts[-1])
+    assert len(enc.cache) + len(enc.older) < 300  # 3 come again; 10,000 do not, but for chance hits of their marks
+    assert asked.count("common") <= 2 and {b"common", b"Words,"} <= enc.cache.keys()
+    again = tokens.WordEncoder(tokens.default_path(), cache_words=3)
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 3000)
+    assert [x.tolist() for x in again.documents([None, b"", *(t.encode() for t in texts)])] == [[1], [1], *got]
+
+
+def test_labelled_ids_start_no_python_workers(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    docs.write.parquet(path := f"{common.work_dir(spark)}/labelled")
+    rows, totals = common.labelled_sample(spark.read.parquet(path), labels, "quality", 5, learnable_only=False)
+    got = sorted((r["doc_id"], r["label"], bytes(r["text"])) for r in rows.collect())
+    assert totals == {0: 20, 1: 20} and len(got) == 10 and all(y == k % 2 and t == f"text {k}".encode() for k, y, t in got)
+    assert "ExistingRDD" not in rows._jdf.queryExecution().toString()
+    assert common.labelled_sample(spark.read.parquet(path), labels.limit(0), "quality", 5, learnable_only=False)[0].count() == 0
+
+
 def test_base_counts():
     assert quality_rules.base_counts("é a# |b\n\né a# |b\nx".encode())[:4] == (7, 11, 4, 1)
     assert quality_rules.base_counts(b"a b c d a b c e")[4] == 6 and quality_rules.base_counts(None) == (0, 0, 0, 0, 0)
