@@ -40,9 +40,10 @@ def decompose(n: int, longest: int = LONGEST) -> list[tuple[int, int]]:
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str | None = None, longest: int = LONGEST, end_id: int = END_ID, with_ids: bool = False
+    docs: DataFrame, tokenizer_path: str | None = None, longest: int = LONGEST, end_id: int = END_ID, with_ids: bool = False, sparing: bool = False
 ) -> DataFrame:
     """One row per piece (see ``SCHEMA``), in runs of one bucket; ``with_ids`` adds the piece's ids as ``ids array<int>``.
+    ``sparing`` keeps fewer words in the workers, which takes longer and gives the same rows.
 
     Null and empty texts give the single piece of the end id; very long ones are cut whole. Rows are independent: null or
     repeated ids, repeated texts and further columns, whatever their names, change nothing; an empty table gives no rows.
@@ -56,7 +57,7 @@ def pack(
     schema = pa.schema([*zip(names, types), *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
 
     def run(batches):
-        enc, sequence, held = encoder(path), TaskContext.get().partitionId() << 33, 0
+        enc, sequence, held = encoder(path, sparing), TaskContext.get().partitionId() << 33, 0
         buckets: list[list[tuple]] = [[] for _ in range(longest.bit_length())]
 
         def emptied(bucket: int) -> pa.RecordBatch:

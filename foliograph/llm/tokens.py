@@ -1,8 +1,8 @@
 """Exact whole-text tokenization at corpus speed.
 
 The vocabulary's normaliser and splitter never let a token cross ASCII white space, so a text's ids are its words' ids
-put together. The words of a group of texts are encoded once by the ``tokenizers`` library; the worker process keeps those
-that come again in another group, since most distinct words of a corpus hardly ever do.
+put together. The words of a group of texts are encoded once by the ``tokenizers`` library and kept by the worker process;
+where other stages share the worker, only those that come again in another group, since most distinct words hardly ever do.
 """
 
 from __future__ import annotations
@@ -17,14 +17,16 @@ import numpy as np
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Words kept by one worker process at most, and distinct punctuation tails (bounds on memory, not on results).
-CACHE_WORDS, MAX_TAILS = 300_000, 10_000
+CACHE_WORDS, MAX_TAILS = 1_200_000, 10_000
+#: Words kept by a sparing encoder.
+SPARING_WORDS = 300_000
 #: Places that mark words as seen once, by hash (words that share one are kept a group too early, which costs memory alone).
 SEEN = 1 << 22
 #: Bytes of texts whose words are looked up together; a longer text is a group of its own.
 GROUP_BYTES = 1 << 18
 _TAIL = ",.!*#%&$;:?)"
 
-_encoders: dict[str, "WordEncoder"] = {}
+_encoders: dict[tuple[str, bool], "WordEncoder"] = {}
 
 
 def default_path() -> str:
@@ -46,11 +48,11 @@ def _plain_words(description: dict) -> dict | None:
 class WordEncoder:
     """``encode(text)`` gives the ids of a UTF-8 text as packed little-endian integers, without special tokens.
 
-    Words are kept, from the second group on that has them, in two generations of half of ``cache_words`` each: when the
-    newer is full the older is dropped, so words in use stay known.
+    Words are kept in two generations of half of ``cache_words`` each: when the newer is full the older is dropped, so
+    words in use stay known. With ``sparing`` they are kept only from the second group on that has them.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, sparing: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -64,13 +66,13 @@ class WordEncoder:
         self.older: dict[bytes, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
         self.cache_words = cache_words
-        self.seen, self.marks = bytearray(SEEN), 0
+        self.seen, self.marks = bytearray(SEEN if sparing else 0), 0
 
     def _library(self, tokenizer, words: list[str]) -> list[bytes]:
         return [pack(f"<{len(ids)}{self.code}", *ids) for ids in (e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False))]
 
     def _learn(self, missing: set[bytes]) -> list[bytes]:
-        """Add words to the newer generation; gives those seen for the first time, to be taken out after the group. Letters followed by ASCII punctuation are two separate pre-tokens, so Latin-1
+        """Add words to the newer generation; a sparing encoder gives those seen for the first time, to be taken out after the group. Letters followed by ASCII punctuation are two separate pre-tokens, so Latin-1
         letters are encoded without normaliser and splitter, lower-cased, and their tail is looked up on its own."""
         words, heads, tails, others, once, seen = [], [], [], [], [], self.seen
         if 2 * self.marks > SEEN:
@@ -80,8 +82,7 @@ class WordEncoder:
             if known is not None:
                 self.cache[word] = known
                 continue
-            place = hash(word) % SEEN
-            if not seen[place]:
+            if seen and not seen[place := hash(word) % SEEN]:
                 seen[place] = 1
                 once.append(word)
             s = word.decode("utf-8", "replace")
@@ -139,8 +140,8 @@ class WordEncoder:
         return next(self.documents([text], end_id))
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, sparing: bool = False) -> WordEncoder:
     """The worker process's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    if (path, sparing) not in _encoders:
+        _encoders[path, sparing] = WordEncoder(path, SPARING_WORDS if sparing else CACHE_WORDS, sparing)
+    return _encoders[path, sparing]

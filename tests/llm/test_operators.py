@@ -285,14 +285,14 @@ def test_encoder_keeps_words_that_come_again(monkeypatch):
     letters = str.maketrans("0123456789", "abcdefghij")
     rare = [[f"{k:04}{n:04}q".translate(letters) for n in range(100)] for k in range(100)]
     texts = [" ".join(["common", "Words,", "naïve", *own]) for own in rare]
-    enc, asked = tokens.WordEncoder(tokens.default_path()), []
+    enc, asked = tokens.encoder(tokens.default_path(), sparing=True), []
     library = enc._library
     monkeypatch.setattr(enc, "_library", lambda t, words: asked.extend(words) or library(t, words))
     got = [enc.document(t.encode()).tolist() for t in texts]
     assert got[0] == library_ids(texts[0]) and got[-1] == library_ids(texts[-1])
     assert len(enc.cache) + len(enc.older) < 300  # 3 come again; 10,000 do not, but for chance hits of their marks
     assert asked.count("common") <= 2 and {b"common", b"Words,"} <= enc.cache.keys()
-    again = tokens.WordEncoder(tokens.default_path(), cache_words=3)
+    again = tokens.WordEncoder(tokens.default_path(), 3, True)
     monkeypatch.setattr(tokens, "GROUP_BYTES", 3000)
     assert [x.tolist() for x in again.documents([None, b"", *(t.encode() for t in texts)])] == [[1], [1], *got]
 
