@@ -131,6 +131,42 @@ def test_search_reads_its_terms_only(spark, tmp_path):
     assert sorted(r["path"] for r in indexed.search("w7").collect()) == ["6.md", "7.md"] and indexed.search("common").count() == 300
 
 
+def test_postings_are_few_rows(spark, tmp_path):
+    """One row a token and block, not one a token and page; pages that go take their places with them."""
+    from foliograph.operators.search import SearchIndex
+
+    docs = spark.range(300).selectExpr("concat(id, '.md') AS path", "'t' AS title", "'' AS description", "concat('w', id % 7, ' common common') AS body").coalesce(2)
+    for tokenizer in ("plain", "trigram"):
+        indexed = SearchIndex.build(docs, f"{tmp_path}/{tokenizer}", tokenizer)
+        blocks = indexed.blocks.count()
+        assert blocks <= 8 and indexed.postings.groupBy("token").count().where(f"count > {blocks}").count() == 0
+        token = "common" if tokenizer == "plain" else "com"
+        told = lambda x: tuple(x.postings.where(f"token = '{token}'").selectExpr("sum(n_pages)", "sum(n)").first())  # noqa: B023, E731
+        assert told(indexed) == (300, 600)
+        later = indexed.replaced(f"{tmp_path}/{tokenizer}-later", docs.limit(0), docs.where("path NOT LIKE '1%'"))
+        assert told(later) == (189, 378) and later.search("common").count() == 189 == later.about["n_docs"]
+        assert later.search('"common common"').where("path LIKE '1%'").count() == 0
+
+
+def test_positions_and_words_are_exact():
+    import random
+    import unicodedata
+
+    import numpy as np
+
+    from foliograph.functions import blocks
+
+    r = random.Random(3)
+    for n in (0, 1, 900):
+        positions = np.sort(np.array(r.sample([*range(1000), 1 << 14, 1 << 22, 1 << 29], n), np.int64))
+        data, _ = blocks.encode(positions, np.zeros(min(n, 1), np.int64))
+        assert n == 0 or blocks.decode(data.tobytes()).tolist() == positions.tolist()
+    for _ in range(500):
+        s = "".join(r.choice("aé _\u0301\u0308\u0b94\u0f71\u0f73ıİKß-\u0345ϓ한e9½") for _ in range(30))
+        folded = "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not unicodedata.combining(c))
+        assert text.tokenize(s) == [text.stem(w) for w in text.words(folded, "plain")]
+
+
 def test_snippets_follow_sqlite():
     import random
 
