@@ -315,6 +315,24 @@ def test_cache_and_ignored_files(spark, notes, tmp_path):
     assert not names and warning.startswith("git could not list")
 
 
+def test_equal_frontmatter_is_parsed_once(monkeypatch):
+    seen = []
+    loader = frontmatter._Loader
+    monkeypatch.setattr(frontmatter, "_Loader", lambda s: seen.append(s) or loader(s))
+    frontmatter._parsed.cache_clear()
+    blocks = [frontmatter.read(f"---\ntype: note\n---\nbody {k}\n") for k in range(5)]
+    assert seen == ["type: note\n"] and [b.body for b in blocks] == [f"body {k}\n" for k in range(5)] and {b.body_line for b in blocks} == {4}
+    bad = [frontmatter.read("---\na: [\n---\n") for _ in range(2)]
+    assert bad[0].error == bad[1].error and bad[0].error and bad[0].json is None
+    assert frontmatter.read("---\r\na: b\r---\n\rx\u2028y").json == '{"a": "b"}' and frontmatter.read("---\na: b").error
+
+
+def test_concepts_are_dealt_to_all_cores(spark):
+    import __spark_entry__ as e
+
+    assert e.queries()["lint_concepts"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_streams_of_pages(spark, tmp_path):
     from foliograph.streaming import sweeps
 
