@@ -287,6 +287,20 @@ def test_unreadable_and_vanished_files(spark, notes, tmp_path, monkeypatch):
     assert ingest.read_file("kb/x.md", str(notes / "kb/x.md"), page.Settings())["fate"] == "vanished"
 
 
+def test_tasks_list_large_workspaces(spark, notes, tmp_path, monkeypatch):
+    from foliograph.plans import ingest
+
+    (notes / "link.md").symlink_to(notes / "kb/a.md")
+    monkeypatch.setattr(ingest, "LISTED_BY_DRIVER", 0)
+    engine = Engine.open(spark, notes, tmp_path / "index")
+    want = engine.workspace.scan()
+    monkeypatch.setattr(workspace.Workspace, "scan", lambda self: pytest.fail("the driver listed the files"))
+    assert sorted(tuple(r) for r in engine.index._listing("listing").collect()) == want and len(want) == 5
+    assert engine.sweep(now=4e9)["added"] == 5
+    names = sorted(os.listdir(tmp_path / "index"))
+    assert engine.sweep(now=4e9)["hashed"] == 0 and sorted(os.listdir(tmp_path / "index")) == names
+
+
 def test_cache_and_ignored_files(spark, notes, tmp_path):
     import subprocess
 
